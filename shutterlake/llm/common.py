@@ -35,7 +35,7 @@ def spread_join(left: DataFrame, groups: DataFrame, key: str, size: str, total:
     salt = F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.monotonically_increasing_id() + 1)
     marked = left.join(F.broadcast(hot), left[key] == F.col("__k"), "left").drop("__k").withColumn("__salt", salt.cast("long"))
     out = marked.join(cold, (marked[key] == cold["__k"]) & (marked["__salt"] == cold["__s"]), "left")
-    return out.select(*[left[c] for c in left.columns], *[F.coalesce(F.col(f"__hot.{v}"), F.col(f"__cold.{v}")).alias(v) for v in values])
+    return out.select(*[left[f"`{c}`"] for c in left.columns], *[F.coalesce(F.col(f"__hot.{v}"), F.col(f"__cold.{v}")).alias(v) for v in values])
 
 
 def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
