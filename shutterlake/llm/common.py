@@ -31,7 +31,8 @@ def spread_join(left: DataFrame, groups: DataFrame, key: str, size: str, total:
     limit = max(64, int(total * HOT_SHARE))
     values = [c for c in groups.columns if c != key]
     hot = groups.filter(F.col(size) > limit).select(F.col(key).alias("__k"), F.struct(*values).alias("__hot"))
-    cold = groups.filter(F.col(size) <= limit).select(F.col(key).alias("__k"), F.lit(0).cast("long").alias("__s"), F.struct(*values).alias("__cold"))
+    zero = (F.col(size) < 0).cast("long")  # a literal would be folded away, and rows dealt by the key alone
+    cold = groups.filter(F.col(size) <= limit).select(F.col(key).alias("__k"), zero.alias("__s"), F.struct(*values).alias("__cold"))
     salt = F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.monotonically_increasing_id() + 1)
     marked = left.join(F.broadcast(hot), left[key] == F.col("__k"), "left").drop("__k").withColumn("__salt", salt.cast("long"))
     out = marked.join(cold, (marked[key] == cold["__k"]) & (marked["__salt"] == cold["__s"]), "left")
