@@ -99,7 +99,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in VIEWS:
         return table(spark, sf_dir, name)
     text = VIEWS[name]
-    return spark.sql(text, **{n: view(spark, sf_dir, n) for n in dict.fromkeys(_NAME.findall(text))})
+    literal = text.replace("{", "{{").replace("}", "}}")  # braces of JSON texts stay; those of names don't
+    return spark.sql(re.sub(r"\{\{(\w+)\}\}", r"{\1}", literal), **{n: view(spark, sf_dir, n) for n in dict.fromkeys(_NAME.findall(text))})
 
 
 def oracle(sql: str) -> str:
