@@ -33,12 +33,16 @@ def fit_cells(x: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
 
 
 def cells_of(x: np.ndarray, c: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(vector, cell, whether it is the vector's own) for the nearest cell and all whose border is within margin."""
+    """(vector, cell, whether it is the vector's own) for the nearest cell and all lower ones whose border is within margin.
+
+    Both vectors of a link are as near to the border between their cells, so it is met in the lower of the two alone.
+    """
     dots = x @ c.T
     own = dots.argmax(1)
     apart = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 1e-12))[own]
     beyond = (dots[np.arange(len(x)), own][:, None] - dots) / apart
     beyond[np.arange(len(x)), own] = -1
+    beyond[np.arange(len(c)) > own[:, None]] = np.inf
     i, j = np.nonzero(beyond <= margin)
     return i, j, j == own[i]
 
@@ -73,7 +77,7 @@ def _compare(threshold: float):
         import pandas as pd
 
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        x, gid, m, own, blk = _unit(np.stack(pdf["vec"]).astype(np.float64)), pdf["gid"].to_numpy(), pdf["m"].to_numpy(), pdf["own"].to_numpy(), pdf["block"].to_numpy()
+        x, gid, m, blk = _unit(np.stack(pdf["vec"]).astype(np.float64)), pdf["gid"].to_numpy(), pdf["m"].to_numpy(), pdf["block"].to_numpy()
         left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
         count, a, b = np.zeros(len(pdf), np.int64), [], []
         for s in range(0, len(left), 512):
@@ -82,11 +86,10 @@ def _compare(threshold: float):
             p, q = rows[p], right[q]
             keep = (p < q) if i == j else np.ones(len(p), bool)
             p, q = p[keep], q[keep]
-            np.add.at(count, p[own[p]], m[q[own[p]]])
-            np.add.at(count, q[own[q]], m[p[own[q]]])
-            use = own[p] | own[q]
-            a.append(p[use])
-            b.append(q[use])
+            np.add.at(count, p, m[q])
+            np.add.at(count, q, m[p])
+            a.append(p)
+            b.append(q)
             if sum(map(len, a)) > 8 * len(pdf):  # links already joined are forgotten
                 root = roots(np.concatenate(a), np.concatenate(b), len(pdf))
                 a, b = [np.flatnonzero(root != np.arange(len(pdf)))], [root[root != np.arange(len(pdf))]]
@@ -101,7 +104,7 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.95, cell: int
     """One row per vector: id, n_links, component_id, kept. Vectors link if their cosine is at least threshold.
 
     Equal vectors are collapsed to one with a multiplicity. Centroids are fitted on SAMPLE vectors at most, with the
-    least hashes; every vector is placed in the cell of the nearest centroid, and compared also in each cell whose border
+    least hashes; every vector is placed in the cell of the nearest centroid, and compared also in each lower cell whose border
     is near: at most border standard deviations of the distance that a link in a random direction can cross (math.inf
     compares wherever a link is possible at all). Cells are cut into blocks, and each pair of blocks is one bounded
     product in double precision, so a cell of any size is many tasks. A pair of blocks gives out counts and at most one
@@ -126,10 +129,14 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.95, cell: int
     kind = rows.schema["id"].dataType.simpleString()
     placed = map_arrow(groups.select("gid", "vec", "m"), _place(spark.sparkContext.broadcast(centroids), dim, margin), "gid long, vec array<double>, m long, cell int, own boolean")
     placed = cut_lineage(placed)
-    blocks = placed.groupBy("cell").count().select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    dealt = placed.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("gid", "cell"), F.col("blocks")).cast("int"))  # a row for each cell
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("gid", "vec", "m", "own", "cell", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    part = lambda own: F.ceil(F.count(F.when(F.col("own") == own, 1)) / BLOCK).cast("int")
+    blocks = placed.groupBy("cell").agg(part(True).alias("inner"), part(False).alias("outer"))  # a cell's own vectors, then those near its border
+    dealt = placed.join(F.broadcast(blocks), "cell")  # a row for each cell
+    deal = F.xxhash64("gid", "cell")
+    dealt = dealt.withColumn("block", F.when(F.col("own"), F.pmod(deal, F.col("inner"))).otherwise(F.col("inner") + F.pmod(deal, F.col("outer"))).cast("int"))
+    last = F.when(F.col("own"), F.col("inner") + F.col("outer")).otherwise(F.col("inner")) - 1  # two vectors near the border aren't compared
+    pairs = dealt.withColumn("other", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))))
+    pairs = pairs.select("gid", "vec", "m", "cell", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     found = cut_lineage(pairs.groupBy("cell", "i", "j").applyInPandas(_compare(threshold), "gid long, n long, root long"))
     label = connected_components(found.select(F.col("gid").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("gid").agg(F.sum("n").alias("n"))
