@@ -21,10 +21,13 @@ LINEAR = 4096
 #: Tokens that are packed together; bounds what a task holds, and leaves less than one sequence of padding each time.
 WINDOW = 1 << 20
 #: Words whose ids a worker remembers, and characters of the longest such word.
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+CACHE_WORDS, CACHE_CHARS = 1_000_000, 64
+#: Parts that are encoded in one call.
+JOINED = 2000
 
 _TIGHT = re.compile(r"\s \s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_PLAIN = re.compile(r" ?\S+(?:\n\S+)*").fullmatch
 
 
 class WordTokenizer:
@@ -36,27 +39,58 @@ class WordTokenizer:
 
     def __init__(self, path: str, end_id: int) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.known: dict[str, bytes] = {}  # words after a space, without the space
         self.end = np.array([end_id], "<u4").tobytes()
 
-    def _parts(self, text: str) -> list[str]:
-        pieces = _CUT.split(text) if _TIGHT.search(text) else text.split(" ")
-        return [pieces[0], *[" " + p for p in pieces[1:]]]
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text with the end id, as little-endian unsigned 32-bit numbers."""
-        parts = [self._parts(t) for t in texts]
-        known = self.known
-        new: dict[str, bytes] = {}
-        missing = list({w for p in parts for w in p if w not in known})
-        for i in range(0, len(missing), 20_000):
-            some = missing[i : i + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4").tobytes()
-                (known if len(known) < CACHE_WORDS and len(w) <= CACHE_CHARS else new)[w] = ids
-        if new:
-            return [b"".join([known[w] if w in known else new[w] for w in p]) + self.end for p in parts]
-        return [b"".join([known[w] for w in p]) + self.end for p in parts]
+        words = [_CUT.split(t) if _TIGHT.search(t) else t.split(" ") for t in texts]
+        heads = self._ids([w.pop(0) for w in words])
+        new = [*set().union(*words).difference(self.known)]
+        self.known.update(zip(new, self._ids([" " + w for w in new]), strict=True))
+        ids = self.known.__getitem__
+        out = [head + b"".join(map(ids, w)) + self.end for head, w in zip(heads, words, strict=True)]
+        room = CACHE_WORDS - len(self.known) + len(new)
+        for w in new:
+            if room > 0 and len(w) <= CACHE_CHARS:
+                room -= 1
+            else:
+                del self.known[w]
+        return out
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part, encoded for itself.
+
+        Parts are joined by line feeds: the pattern makes one of those a part of its own if it stands before a visible
+        character, or a space and one, and no other text gives its id. Parts with other white space inside go singly.
+        """
+        out: list[bytes] = [b""] * len(parts)
+        plain, other = [], []
+        for i, p in enumerate(parts):
+            (plain if _PLAIN(p) else other).append(i)
+        runs = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
+        for run in runs:
+            text = "\n".join([parts[i] for i in run])
+            if len(self.line) > 1 or any(x in text for x in self.special):
+                other += run
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.line[0]), len(ids)) * 4
+            last = np.cumsum([parts[i].count("\n") + 1 for i in run]) - 1
+            if last[-1] + 1 != len(ends):
+                other += run
+                continue
+            data, start = ids.tobytes(), 0
+            for i, end in zip(run, ends[last].tolist(), strict=True):
+                out[i] = data[start:end]
+                start = end + 4
+        for k in range(0, len(other), JOINED):
+            some = other[k : k + JOINED]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([parts[j] for j in some], add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
 
 
 _LOADED: dict[tuple[str, int], WordTokenizer] = {}
