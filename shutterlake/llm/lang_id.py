@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.llm.common import narrow
@@ -145,13 +145,24 @@ def held_out(id_col: str, buckets: int) -> Column:
 
 
 def train(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Fit on a bounded sample: of each language, the sample_docs labelled texts of at most sample_chars with the least hash of text."""
+    """Fit on a bounded sample: of each language, the sample_docs distinct labelled texts of at most sample_chars with the least hash.
+
+    A first pass counts each language's distinct hashes; a second one takes the share of the hashes that holds half as
+    many again as are wanted, so that no task gathers a language. Rows without text or label don't count.
+    """
     text, lang = F.col(f"`{text_col}`").cast("string"), F.col(f"`{lang_col}`").cast("string")
     rows = narrow(docs.filter(usable) if usable is not None else docs, text=text, lang=lang)
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= sample_chars)).withColumn("h", F.xxhash64("text"))
-    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("r") <= sample_docs)
-    got = sorted((r["lang"], r["r"], r["text"]) for r in first.select("lang", "r", "text").collect())
-    return fit([t for _, _, t in got], [lang for lang, _, _ in got])
+    sizes = rows.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not sizes:
+        return fit([], [])
+    bound = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, (1.5 * sample_docs + 50) / r["n"]))])
+    some = rows.filter(F.col("h") / 2.0**64 + 0.5 <= F.element_at(bound, F.col("lang")))
+    found: dict[str, list[tuple[int, str]]] = {}
+    for r in some.groupBy("lang", "h").agg(F.min("text").alias("text")).collect():
+        found.setdefault(r["lang"], []).append((r["h"], r["text"]))
+    got = [(lang, t) for lang in sorted(found) for _, t in sorted(found[lang])[:sample_docs]]
+    return fit([t for _, t in got], [lang for lang, _ in got])
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
