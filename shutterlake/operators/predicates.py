@@ -70,16 +70,26 @@ def flag_origin(pick: Column, origin: Column, wanted: str | None) -> Column:
     return (pick != "unflagged") & (auto if wanted == "auto" else ~auto)
 
 
-def keeper(rule: str, pick: Column, rating: Column, suggested: Column, min_rating: int = 1) -> Column:
-    """`not_rejected`: not rejected by flag and, if unflagged without stars, not by suggestion. `chosen`: picked or rated."""
-    undecided = (pick == "unflagged") & (rating == 0)
+def keeper(rule: str, pick: Column, rating: Column, suggested: Column, min_rating: int = 1, use_suggestions: bool = False) -> Column:
+    """`not_rejected`: any flag but reject. `chosen`: picked or, if not rejected, rated; unrated ones by suggestion on request."""
     if rule == "not_rejected":
-        return (pick != "reject") & ~(undecided & suggested.eqNullSafe(F.lit("reject")))
+        return pick != "reject"
     if rule == "chosen":
-        return (pick != "reject") & ((pick == "pick") | (rating >= min_rating))
+        wanted = rating >= min_rating
+        if use_suggestions:
+            wanted = wanted | ((rating == 0) & suggested.eqNullSafe(F.lit("pick")))
+        return (pick == "pick") | ((pick != "reject") & wanted)
     raise InvalidArgument(f"no keeper rule {rule}")
 
 
+def pending(kinds: Sequence[str], pick: Column, rating: Column, suggested: Column, stars_suggested: Column) -> Column:
+    """Undecided photos with a suggestion of any of the kinds pick, reject and rating."""
+    of = {"pick": suggested == "pick", "reject": suggested == "reject", "rating": ~suggested.isin("pick", "reject") & (stars_suggested > 0)}
+    if gone := [k for k in kinds if k not in of]:
+        raise InvalidArgument(f"no suggestion kind {gone[0]}")
+    return (pick == "unflagged") & (rating == 0) & reduce(lambda a, b: a | b, [of[k] for k in kinds])
+
+
 def any_camera(cameras: Sequence[tuple], make: Column, model: Column, serial: Column) -> Column:
     """Any of (make, model) or (make, model, serial); None stands for unknown, which blank values are."""
     parts = []
@@ -100,9 +110,16 @@ def first_kind(reasons: Column) -> Column:
     return F.when(F.try_parse_json(reasons).isNotNull(), F.get_json_object(reasons, "$[0].kind"))
 
 
-def pile(pick: Column, rating: Column, suggested: Column) -> Column:
-    """The class of a photo in a first pass."""
-    return F.when(pick == "reject", "rejected").when((pick == "pick") | (rating > 0), "kept").when(suggested == "pick", "likely").when(suggested == "reject", "unlikely").otherwise("open")
+def pile(choice: Column, pick: Column, suggested: Column, reasons: Column, covered_by: Column, similarity: Column) -> Column:
+    """The second look's pile of a selected photo; null for what is delivered or an alternative."""
+    bad = pick.eqNullSafe(F.lit("reject")) | suggested.eqNullSafe(F.lit("reject"))
+    alike = F.coalesce(first_kind(reasons).isin("near_duplicate", "not_best_of_setup"), F.lit(False)) | (covered_by.isNotNull() & (similarity >= 0.7))
+    return F.when(choice == "not_sure", "not_sure").when(choice != "set_aside", None).when(bad, "defects").when(alike, "similar").otherwise("weaker")
+
+
+def overlay(choice: Column, scored: Column) -> Column:
+    """The suggestion that counts: a delivered photo is picked, another choice takes a pick away, else the scorer's."""
+    return F.when(choice == "deliver", "pick").when(choice.isNotNull() & (scored == "pick"), "unflagged").otherwise(scored)
 
 
 def with_tags(df: DataFrame, tags: DataFrame, wanted: Sequence[str], match: str, key: str = "id") -> DataFrame:

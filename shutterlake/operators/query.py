@@ -56,6 +56,8 @@ class CatalogQuery:
     missing_only: bool = False
     collapse_bursts: bool = False
     keeper_rule: str | None = None
+    keeper_min_rating: int = 1
+    keeper_suggestions: bool = False
     suggested: Sequence[str] = ()
     reason_kinds: Sequence[str] = ()
     piles: Sequence[str] = ()
@@ -76,7 +78,9 @@ def filtered(c: Catalog, q: CatalogQuery) -> DataFrame:
     """The images that match. Joins are added only for the constraints that need them."""
     df, col = c.images, F.col
     if q.suggested or q.reason_kinds or q.piles or q.keeper_rule:
-        df = df.join(c.scores.select(col("image_id").alias("id"), "overall", "suggested_pick", "reasons_json"), "id", "left")
+        df = df.join(c.scores.select(col("image_id").alias("id"), "overall", "suggested_pick", "suggested_rating", "reasons_json"), "id", "left")
+    if q.piles:
+        df = df.join(c.selection.select(col("image_id").alias("id"), "choice", "covered_by", "covered_similarity", col("reasons_json").alias("why")), "id")
     parts: list[Column] = [
         p.scope(col("folder_id"), q.folder_ids),
         p.one_of(col("pick"), q.picks),
@@ -102,13 +106,13 @@ def filtered(c: Catalog, q: CatalogQuery) -> DataFrame:
     if q.text:
         parts.append(F.lower("file_name").contains(q.text.lower()))
     if q.suggested:
-        parts += [col("pick") == "unflagged", col("rating") == 0, col("suggested_pick").isin(list(q.suggested))]
+        parts.append(p.pending(q.suggested, col("pick"), col("rating"), col("suggested_pick"), col("suggested_rating")))
     if q.reason_kinds:
         parts.append(p.first_kind(col("reasons_json")).isin(list(q.reason_kinds)))
     if q.piles:
-        parts.append(p.pile(col("pick"), col("rating"), col("suggested_pick")).isin(list(q.piles)))
+        parts.append(p.pile(col("choice"), col("pick"), col("suggested_pick"), col("why"), col("covered_by"), col("covered_similarity")).isin(list(q.piles)))
     if q.keeper_rule:
-        parts.append(p.keeper(q.keeper_rule, col("pick"), col("rating"), col("suggested_pick")))
+        parts.append(p.keeper(q.keeper_rule, col("pick"), col("rating"), col("suggested_pick"), q.keeper_min_rating, q.keeper_suggestions))
     df = df.filter(p.all_of(parts))
     df = p.with_tags(df, c.tags, q.tags, q.tag_match)
     df = p.with_tags(df, c.tags, q.exclude_tags, "none")

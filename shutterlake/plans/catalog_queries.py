@@ -39,16 +39,20 @@ _filter("flt09_tag_exclude", CatalogQuery(exclude_tags=["t0", "t2"]), "i.id NOT
 _filter("flt10_flag_origin_auto", CatalogQuery(pick_origin="auto"), "pick <> 'unflagged' AND pick_origin = 'auto'")
 _filter("flt10_flag_origin_user", CatalogQuery(pick_origin="user"), "pick <> 'unflagged' AND coalesce(pick_origin, 'user') <> 'auto'")
 _filter("flt11_collapse_bursts", CatalogQuery(collapse_bursts=True), "i.burst_id IS NULL OR NOT EXISTS (SELECT 1 FROM {bursts} b JOIN {images} k ON k.id = b.keeper_id WHERE b.id = i.burst_id AND b.keeper_id <> i.id)")
-_filter("flt12_keeper_not_rejected", CatalogQuery(keeper_rule="not_rejected"), "pick <> 'reject' AND NOT (pick = 'unflagged' AND rating = 0 AND coalesce(s.suggested_pick, '') = 'reject')", _SCORES)
-_filter("flt12_keeper_chosen", CatalogQuery(keeper_rule="chosen"), "pick <> 'reject' AND (pick = 'pick' OR rating >= 1)", _SCORES)
+_filter("flt12_keeper_not_rejected", CatalogQuery(keeper_rule="not_rejected"), "pick <> 'reject'")
+_filter("flt12_keeper_chosen", CatalogQuery(keeper_rule="chosen", keeper_min_rating=2), "pick = 'pick' OR (pick <> 'reject' AND rating >= 2)")
+_filter("flt12_keeper_suggested", CatalogQuery(keeper_rule="chosen", keeper_min_rating=3, keeper_suggestions=True), "pick = 'pick' OR (pick <> 'reject' AND (rating >= 3 OR (rating = 0 AND coalesce(s.suggested_pick, '') = 'pick')))", _SCORES)
 _filter("flt13_pending_suggestion", CatalogQuery(suggested=["pick"]), "pick = 'unflagged' AND rating = 0 AND s.suggested_pick = 'pick'", _SCORES)
+_filter("flt13_pending_rating", CatalogQuery(suggested=["rating", "reject"]), "pick = 'unflagged' AND rating = 0 AND (s.suggested_pick = 'reject' OR (s.suggested_pick NOT IN ('pick', 'reject') AND s.suggested_rating > 0))", _SCORES)
 _filter("flt14_edited", CatalogQuery(edited=True), "EXISTS (SELECT 1 FROM {adjustments} a WHERE a.image_id = i.id AND NOT a.neutral)")
 _filter("flt14_not_edited", CatalogQuery(edited=False), "NOT EXISTS (SELECT 1 FROM {adjustments} a WHERE a.image_id = i.id AND NOT a.neutral)")
 _filter("flt15_cameras", CatalogQuery(cameras=[("sony", "M1"), ("canon", None), ("fujifilm", "M2", None)]), "(camera_make = 'sony' AND trim(camera_model) = 'M1') OR (camera_make = 'canon' AND nullif(trim(camera_model), '') IS NULL) OR (camera_make = 'fujifilm' AND trim(camera_model) = 'M2' AND nullif(trim(camera_serial), '') IS NULL)")
 _filter("flt16_list_with_null", CatalogQuery(lenses=["FE 23mm", None]), "trim(lens) = 'FE 23mm' OR nullif(trim(lens), '') IS NULL")
 _filter("flt17_reason_kind", CatalogQuery(reason_kinds=["blink", "missed_focus"]), "CASE WHEN json_valid(s.reasons_json) THEN json_extract_string(s.reasons_json, '$[0].kind') END IN ('blink', 'missed_focus')", _SCORES)
-_PILE = "CASE WHEN pick = 'reject' THEN 'rejected' WHEN pick = 'pick' OR rating > 0 THEN 'kept' WHEN s.suggested_pick = 'pick' THEN 'likely' WHEN s.suggested_pick = 'reject' THEN 'unlikely' ELSE 'open' END"
-_filter("flt18_piles", CatalogQuery(piles=["likely", "open"]), f"{_PILE} IN ('likely', 'open')", _SCORES)
+_PILE = """CASE WHEN t.choice = 'not_sure' THEN 'not_sure' WHEN t.choice <> 'set_aside' THEN NULL WHEN pick = 'reject' OR coalesce(s.suggested_pick, '') = 'reject' THEN 'defects'
+    WHEN json_extract_string(t.reasons_json, '$[0].kind') IN ('near_duplicate', 'not_best_of_setup') OR (t.covered_by IS NOT NULL AND t.covered_similarity >= 0.7E0) THEN 'similar' ELSE 'weaker' END"""
+for _pile in ("not_sure", "similar", "weaker", "defects"):
+    _filter(f"flt18_pile_{_pile}", CatalogQuery(piles=[_pile]), f"{_PILE} = '{_pile}'", f"{_SCORES} JOIN {{selection}} t ON t.image_id = i.id")
 _filter("flt19_scope_many", CatalogQuery(folder_ids=[1, 4, 9]), "folder_id IN (1, 4, 9)")
 _filter("flt19_scope_none", CatalogQuery(folder_ids=[]), "1 = 0")
 _filter("flt20_choices", CatalogQuery(choices=["deliver", "alternative"]), "i.id IN (SELECT image_id FROM {selection} WHERE choice IN ('deliver', 'alternative'))")
@@ -168,21 +172,24 @@ def grp16_refresh_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("sel05_overlay", oracle("""
-    SELECT i.id, CASE WHEN s.choice = 'deliver' THEN 'pick' WHEN s.choice IS NOT NULL AND i.pick = 'pick' THEN 'unflagged' WHEN s.choice IS NULL THEN coalesce(q.suggested_pick, i.pick) ELSE i.pick END AS overlay
-    FROM {images} i LEFT JOIN {selection} s ON s.image_id = i.id LEFT JOIN {scores} q ON q.image_id = i.id"""))
+    SELECT q.image_id, CASE WHEN s.choice = 'deliver' THEN 'pick' WHEN s.choice IS NOT NULL AND q.suggested_pick = 'pick' THEN 'unflagged' ELSE q.suggested_pick END AS overlay
+    FROM {scores} q LEFT JOIN {selection} s ON s.image_id = q.image_id"""))
 def sel05_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = view(spark, sf_dir, "images").select("id", "pick")
-    df = df.join(view(spark, sf_dir, "selection").select(F.col("image_id").alias("id"), "choice"), "id", "left")
-    df = df.join(view(spark, sf_dir, "scores").select(F.col("image_id").alias("id"), "suggested_pick"), "id", "left")
-    choice, pick = F.col("choice"), F.col("pick")
-    return df.select("id", F.when(choice == "deliver", "pick").when(choice.isNotNull() & (pick == "pick"), "unflagged").when(choice.isNull(), F.coalesce("suggested_pick", pick)).otherwise(pick).alias("overlay"))
+    df = view(spark, sf_dir, "scores").select("image_id", "suggested_pick").join(view(spark, sf_dir, "selection").select("image_id", "choice"), "image_id", "left")
+    return df.select("image_id", predicates.overlay(F.col("choice"), F.col("suggested_pick")).alias("overlay"))
 
 
-@register("stm05_newest_wins", oracle("""
-    SELECT id, CASE WHEN xmp_mtime_ms IS NULL THEN 'write' WHEN meta_updated_ms IS NULL OR xmp_mtime_ms > meta_updated_ms THEN 'read' WHEN xmp_mtime_ms < meta_updated_ms THEN 'write' ELSE 'same' END AS decision FROM {images}"""))
+_SIDECAR = "CASE WHEN id % 10 = 1 THEN NULL ELSE 1699999999999 + (id % 53) END"
+
+
+@register("stm05_newest_wins", oracle(f"""
+    SELECT id, CASE WHEN m IS NULL OR m = xmp_mtime_ms THEN 'write' WHEN meta_updated_ms IS NULL OR m > meta_updated_ms THEN 'read' ELSE 'write' END AS decision
+    FROM (SELECT *, {_SIDECAR} AS m FROM {{images}} WHERE xmp_dirty)"""))
 def stm05_newest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    side, own = F.col("xmp_mtime_ms"), F.col("meta_updated_ms")
-    return view(spark, sf_dir, "images").select("id", F.when(side.isNull(), "write").when(own.isNull() | (side > own), "read").when(side < own, "write").otherwise("same").alias("decision"))
+    """For changed images: a sidecar that isn't ours and is newer than the catalog is read, else ours is written."""
+    m, own = F.expr(_SIDECAR), F.col("meta_updated_ms")
+    moved = m.isNotNull() & ~m.eqNullSafe(F.col("xmp_mtime_ms"))
+    return view(spark, sf_dir, "images").filter("xmp_dirty").select("id", F.when(moved & (own.isNull() | (m > own)), "read").otherwise("write").alias("decision"))
 
 
 @register("str01_names", oracle("""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shutterlake.functions import numbers, text
-from shutterlake.operators import sequence
+from shutterlake.operators import predicates, sequence
 from shutterlake.plans.catalog import register
 from shutterlake.sources.catalog_views import oracle, view
 
@@ -124,14 +124,14 @@ def agg11_scene_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("scene_id").agg(F.when(low == high, low).alias("folder_id"), F.min("captured_at_ms").alias("first_ms"), F.max("captured_at_ms").alias("last_ms"), F.count(F.lit(1)).alias("n"))
 
 
-@register("srt05_auto_cover", oracle(f"""
-    SELECT project_id, id AS cover FROM (SELECT f.project_id, i.id, row_number() OVER (PARTITION BY f.project_id ORDER BY i.pick = 'reject', i.pick = 'pick' DESC, i.rating DESC, i.captured_at_ms ASC NULLS LAST, i.id) AS r
-    FROM {{images}} i JOIN {{folders}} f ON f.id = i.folder_id WHERE f.project_id IS NOT NULL) WHERE r = 1"""))
+@register("srt05_auto_cover", oracle("""
+    SELECT project_id, id AS cover FROM (SELECT f.project_id, i.id, row_number() OVER (PARTITION BY f.project_id ORDER BY i.pick = 'reject', i.pick = 'pick' DESC, i.rating DESC, i.captured_at_ms ASC NULLS LAST, i.file_name, i.id) AS r
+    FROM {images} i JOIN {folders} f ON f.id = i.folder_id WHERE f.project_id IS NOT NULL) WHERE r = 1"""))
 def srt05_auto_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best image of each project as an aggregate: combined before the shuffle, unlike a ranking window."""
     folders = view(spark, sf_dir, "folders").filter("project_id IS NOT NULL").select(F.col("id").alias("folder_id"), "project_id")
-    rows = _images(spark, sf_dir).select("id", "folder_id", "pick", "rating", "captured_at_ms").join(folders, "folder_id")
-    order = F.struct((F.col("pick") == "reject").alias("a"), (F.col("pick") != "pick").alias("b"), (-F.col("rating")).alias("c"), F.col("captured_at_ms").isNull().alias("d"), F.col("captured_at_ms").alias("e"), "id")
+    rows = _images(spark, sf_dir).select("id", "folder_id", "file_name", "pick", "rating", "captured_at_ms").join(folders, "folder_id")
+    order = F.struct((F.col("pick") == "reject").alias("a"), (F.col("pick") != "pick").alias("b"), (-F.col("rating")).alias("c"), F.col("captured_at_ms").isNull().alias("d"), F.col("captured_at_ms").alias("e"), "file_name", "id")
     return rows.groupBy("project_id").agg(F.min(order).alias("m")).select("project_id", F.col("m.id").alias("cover"))
 
 
@@ -167,17 +167,21 @@ def grp03_demote_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("sel06_apply_plan", oracle("""
-    SELECT i.id, CASE WHEN i.pick <> 'unflagged' AND coalesce(i.pick_origin, 'user') <> 'auto' THEN 'protected' WHEN q.want = i.pick THEN 'same' WHEN q.want = 'reject' THEN 'skip_reject' ELSE 'set_' || q.want END AS action
-    FROM {images} i JOIN (SELECT s.image_id, CASE WHEN choice = 'deliver' THEN 'pick' WHEN choice IS NOT NULL AND suggested_pick = 'pick' THEN 'unflagged' ELSE suggested_pick END AS want
-                          FROM {scores} s LEFT JOIN {selection} t ON t.image_id = s.image_id) q ON q.image_id = i.id"""))
+    WITH q AS (SELECT i.id, i.pick, i.pick <> 'unflagged' AND coalesce(i.pick_origin, 'user') <> 'auto' AS own,
+               CASE WHEN q.image_id IS NULL THEN NULL WHEN s.choice = 'deliver' THEN 'pick' WHEN q.suggested_pick = 'pick' THEN 'unflagged' ELSE q.suggested_pick END AS want
+               FROM {selection} s JOIN {images} i ON i.id = s.image_id LEFT JOIN {scores} q ON q.image_id = i.id),
+    n AS (SELECT *, want = 'reject' AND pick <> 'reject' AS new_reject FROM q)
+    SELECT id, CASE WHEN own THEN 'protected' WHEN want IS NULL OR (CASE WHEN new_reject THEN 'unflagged' ELSE want END) = pick THEN 'unchanged' WHEN new_reject THEN 'set_unflagged' ELSE 'set_' || want END AS action,
+           NOT own AND coalesce(new_reject, FALSE) AS rejectable FROM n"""))
 def sel06_apply_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What applying the selection would do to each scored image: flags of the user's own stay, new rejects are left out."""
-    chosen = view(spark, sf_dir, "selection").select("image_id", "choice")
-    scored = view(spark, sf_dir, "scores").select("image_id", "suggested_pick").join(chosen, "image_id", "left")
-    want = F.when(F.col("choice") == "deliver", "pick").when(F.col("choice").isNotNull() & (F.col("suggested_pick") == "pick"), "unflagged").otherwise(F.col("suggested_pick"))
-    df = _images(spark, sf_dir).select("id", "pick", "pick_origin").join(scored.select(F.col("image_id").alias("id"), want.alias("want")), "id")
+    """What applying the selection without new rejects would do to each photo; flags of the user's own stay."""
+    scores = view(spark, sf_dir, "scores").select(F.col("image_id").alias("id"), "suggested_pick", F.lit(True).alias("scored"))
+    df = view(spark, sf_dir, "selection").select(F.col("image_id").alias("id"), "choice").join(_images(spark, sf_dir).select("id", "pick", "pick_origin"), "id").join(scores, "id", "left")
+    want = F.when(F.col("scored"), predicates.overlay(F.col("choice"), F.col("suggested_pick")))
     own = (F.col("pick") != "unflagged") & ~F.col("pick_origin").eqNullSafe(F.lit("auto"))
-    return df.select("id", F.when(own, "protected").when(F.col("want") == F.col("pick"), "same").when(F.col("want") == "reject", "skip_reject").otherwise(F.concat(F.lit("set_"), F.col("want"))).alias("action"))
+    df = df.select("id", "pick", own.alias("own"), want.alias("want")).withColumn("rejectable", F.coalesce((F.col("want") == "reject") & (F.col("pick") != "reject"), F.lit(False)) & ~F.col("own"))
+    put = F.when(F.col("rejectable"), "unflagged").otherwise(F.col("want"))
+    return df.select("id", F.when(F.col("own"), "protected").when(put.isNull() | (put == F.col("pick")), "unchanged").otherwise(F.concat(F.lit("set_"), put)).alias("action"), "rejectable")
 
 
 @register("stm08_history_coalesced", oracle("""

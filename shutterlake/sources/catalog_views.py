@@ -73,7 +73,9 @@ VIEWS: dict[str, str] = {
                CASE WHEN i.id % 31 = 0 THEN NULL ELSE i.scene_id END AS moment_id,
                CASE i.id % 4 WHEN 0 THEN 'couple' WHEN 1 THEN 'group' WHEN 2 THEN 'detail' ELSE 'candid' END AS shot_type,
                CASE WHEN i.id % 5 = 1 THEN i.id - 1 ELSE NULL END AS alternative_of, CASE WHEN i.id % 5 = 0 THEN NULL ELSE i.id - i.id % 5 END AS covered_by,
-               (i.id * 41 % 1000) / 1000.0E0 AS score, i.id % 23 = 0 AS locked
+               (i.id * 41 % 1000) / 1000.0E0 AS score, i.id % 23 = 0 AS locked,
+               CASE WHEN i.id % 5 = 0 THEN NULL ELSE (i.id * 17 % 100) / 100.0E0 END AS covered_similarity,
+               CASE i.id % 9 WHEN 0 THEN '[{"kind":"near_duplicate"}]' WHEN 1 THEN '[{"kind":"weaker"},{"kind":"near_duplicate"}]' WHEN 2 THEN NULL ELSE '[]' END AS reasons_json
         FROM {images} i JOIN {folders} f ON i.folder_id = f.id WHERE f.project_id IS NOT NULL""",
     "edges": """
         SELECT a.image_id AS image_a, b.image_id AS image_b, a.moment_id, ((a.image_id * 13 + b.image_id * 7) % 1000) / 1000.0E0 AS similarity
