@@ -12,25 +12,35 @@ import heapq
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import map_arrow, narrow
+from shutterlake.llm.common import Memory, byte_chunks, map_arrow, narrow
 
 SPACE = "▁"
-#: Words whose encoding a worker remembers, and characters of the longest such word.
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
+#: Parts whose encoding a worker remembers in each of two generations, and bytes of the longest such part.
+CACHE_PARTS, CACHE_BYTES = 400_000, 64
+#: Text that is encoded at once.
+CHUNK_BYTES = 4_000_000
+#: Texts on which the model must agree with the library before it is used: the normalisation that is taken for granted.
+PROBES = ["", " ", "a", " a  b ", "\tx\ny\r\n", "Ünï ﬁ ½ ＡＢ", "e\u0301 \u00a0 \u3000 x", "▁ ▁▁a", "漢字 \U0001f600", "x\x00y"]
 
 
 class PrefixTableBpe:
-    """The encoder and decoder of one sentencepiece BPE model with byte fallback, identity normalisation and a dummy prefix."""
+    """The encoder and decoder of one sentencepiece BPE model with byte fallback, identity normalisation and a dummy prefix.
+
+    A text is cut wherever no piece holds the two adjacent bytes: no token reaches across such a place, so each part is
+    encoded for itself, and equal parts once. Other models are refused.
+    """
 
     def __init__(self, model_path: str) -> None:
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self.pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-        self.score, self.byte_id, self.shown = {}, {}, []
+        self.score, self.byte_id = {}, {}
         for i, p in enumerate(self.pieces):
             if model.is_byte(i):
                 self.byte_id[int(p[3:5], 16)] = i
@@ -43,11 +53,18 @@ class PrefixTableBpe:
             raise ValueError("a piece reaches across a word boundary")
         self.matches = ahocorasick.Automaton()
         for p in self.score:
-            if SPACE * 2 not in p:
-                self.matches.add_word(p, p)
+            self.matches.add_word(p, (len(p), p))
         self.matches.make_automaton()
         self.fits: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[int, str, str]] = {}
+        self.known = Memory(CACHE_PARTS, CACHE_BYTES)
+        joins = np.zeros((256, 256), bool)
+        joins[:, 0x80:0xC0] = True  # inside a character
+        for p in self.score:
+            raw = np.frombuffer(p.replace(SPACE, " ").encode(), np.uint8)
+            joins[raw[:-1], raw[1:]] = True
+        self.joins = joins.ravel()
+        if len(self.byte_id) < 256 or any(self.encode(t) != model.encode(t) or self.decode(model.encode(t)) != model.decode(model.encode(t)) for t in PROBES):
+            raise ValueError("the model lacks byte fallback, or doesn't take texts as they are with a dummy prefix")
 
     def merge(self, text: str) -> list[str]:
         """The definition: join the adjacent pair that makes the best-scored piece, the leftmost of equals, until none is left."""
@@ -78,43 +95,44 @@ class PrefixTableBpe:
                 self.fits[left, right] = known
         return known
 
-    def split(self, word: str) -> list[str]:
-        """The tokens of text that has at most one word mark, at its start; single characters stand for unknown ones."""
-        last: list[str] = []
-        ends: list[list[str]] = [[] for _ in word]
-        for end, token in self.matches.iter(word):
-            ends[end].append(token)
-        for i, c in enumerate(word):
-            for token in ends[i]:
-                start = i + 1 - len(token)
-                if start == 0:
-                    if self.may_follow("", token):
-                        last.append(token)
-                        break
-                elif self.may_follow(last[start - 1], token):
-                    last.append(token)
-                    break
-            else:
-                last.append(c)
-        out, i = [], len(word)
+    def split(self, part: str) -> list[str]:
+        """The tokens of a part; single characters stand for unknown ones.
+
+        The prefix table: last[i] is the unique last token of the first i characters' encoding.
+        """
+        last: list[str | None] = [None] * (len(part) + 1)
+        last[0] = ""
+        fits = self.fits
+        for i, (n, token) in self.matches.iter(part):
+            if last[i + 1] is None:
+                left = last[i + 1 - n]
+                if left is None:  # the character before is no piece
+                    left = last[i + 1 - n] = part[i - n]
+                ok = fits.get((left, token))
+                if ok or ok is None and self.may_follow(left, token):
+                    last[i + 1] = token
+        out, i = [], len(part)
         while i:
-            out.append(last[i - 1])
-            i -= len(last[i - 1])
+            token = last[i] or part[i - 1]
+            out.append(token)
+            i -= len(token)
         return out[::-1]
 
-    def ids(self, word: str) -> list[int]:
-        tokens = self.merge(word) if SPACE * 2 in word else self.split(word)
+    def ids(self, part: str) -> list[int]:
         out: list[int] = []
-        for t in tokens:
+        for t in self.split(part):
             known = self.score.get(t)
             if known:
                 out.append(known[1])
             else:
-                out += [self.byte_id[b] for b in t.encode("utf-8")] if self.byte_id else [self.unknown]
+                out += [self.byte_id[b] for b in t.encode("utf-8")]
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids: pieces joined, byte runs as UTF-8 with one replacement for each wrong byte, one leading space dropped."""
+    def decode(self, ids: list[int], first: bool = True) -> str:
+        """The text of ids: pieces joined, byte runs as UTF-8 with one replacement for each wrong byte.
+
+        One leading space is dropped, unless these ids aren't a text's first.
+        """
         out: list[str] = []
         held = bytearray()
 
@@ -133,7 +151,6 @@ class PrefixTableBpe:
                     at += 1
             held.clear()
 
-        first = True
         for i in ids:
             if i in self.byte_of:
                 held.append(self.byte_of[i])
@@ -148,40 +165,45 @@ class PrefixTableBpe:
         flush()
         return "".join(out)
 
-    def words_of(self, text: str) -> list[str]:
-        """The text with word marks, cut before each run of marks: no token reaches across."""
-        if not text:
-            return []
-        parts = text.replace(SPACE, " ").split(" ")
-        if "" not in parts:
-            return [SPACE + p for p in parts]
-        out, marks = [], 0
-        for p in parts:
-            marks += 1
-            if p:
-                out.append(SPACE * marks + p)
-                marks = 0
-        return [*out, SPACE * marks] if marks else out
+    def parts(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The distinct parts of all texts with where they stand, in order, and each text's first part with the end."""
+        texts = texts.cast(pa.string())
+        marked = pc.binary_join_element_wise(pa.scalar(""), pc.replace_substring(texts, SPACE, " "), " ")
+        marked = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", marked)
+        at = np.frombuffer(marked.buffers()[1], np.int32)[marked.offset : marked.offset + len(marked) + 1]
+        raw = np.frombuffer(marked.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        at = at - at[0]
+        new = np.zeros(len(raw) + 1, bool)
+        if len(raw):
+            new[1:-1] = ~self.joins[(raw[:-1].astype(np.uint16) << 8) | raw[1:]]
+        new[at[:-1]] = True
+        start = np.flatnonzero(new[:-1])
+        ends = np.append(start, len(raw)).astype(np.int32)
+        cut = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+        return cut.dictionary_encode(), np.searchsorted(start, at)
 
     def encode(self, text: str) -> list[int]:
-        return [i for w in self.words_of(text) for i in self.ids(w)]
-
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids in decimal joined by commas, and of the decoded text."""
-        known, n, listed, shown = self.words, 0, [], []
-        for w in self.words_of(text):
-            got = known.get(w)
-            if got is None:
-                ids = self.ids(w)
-                # a leading space that decode drops is put back: only the text's first is dropped, below
-                got = len(ids), ",".join(map(str, ids)), " " + self.decode(ids)
-                if len(known) < CACHE_WORDS and len(w) <= CACHE_CHARS:
-                    known[w] = got
-            n += got[0]
-            listed.append(got[1])
-            shown.append(got[2])
-        whole = "".join(shown)[1:]
-        return n, hashlib.sha256(",".join(listed).encode()).hexdigest(), hashlib.sha256(whole.encode("utf-8")).hexdigest()
+        found, _ = self.parts(pa.array([text]))
+        ids = [self.ids(p.decode().replace(" ", SPACE)) for p in found.dictionary.to_pylist()]
+        return [i for k in found.indices.to_pylist() for i in ids[k]]
+
+    def _told(self, part: bytes) -> tuple[int, bytes, bytes]:
+        ids = self.ids(part.decode().replace(" ", SPACE))
+        return len(ids), b"".join(b"%d," % i for i in ids), self.decode(ids, False).encode()
+
+    def digests(self, texts: pa.Array) -> tuple[np.ndarray, list[str], list[str]]:
+        """Number of ids, SHA-256 of the ids in decimal joined by commas, and of the decoded text, for each text."""
+        found, first = self.parts(texts)
+        told = self.known.all(found.dictionary.to_pylist(), lambda new: [self._told(p) for p in new])
+        size = np.append(0, np.cumsum(np.array([t[0] for t in told], np.int64)[found.indices.to_numpy()] if told else np.zeros(0, np.int64)))
+        n = size[first[1:]] - size[first[:-1]]
+        out = []
+        for j, (head, tail) in ((1, (0, 1)), (2, (1, 0))):  # without the last comma, and without the dummy prefix
+            whole = pa.array([t[j] for t in told], pa.large_binary()).take(found.indices)
+            at = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset :][first] if len(whole) else np.zeros(len(first), np.int64)
+            raw = memoryview(whole.buffers()[2] or b"")
+            out.append([hashlib.sha256(raw[a + head : b - tail] if b > a else b"").hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+        return n, out[0], out[1]
 
 
 _LOADED: dict[str, PrefixTableBpe] = {}
@@ -210,16 +232,15 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) per row; the ids and the text of encode() without carrying them.
 
-    One pass without a shuffle. Null texts count as empty; repeated rows each get a row; empty tables give none. Memory
-    is one batch of rows and the bounded word cache, however long a text is beside its own size.
+    One pass without a shuffle. Null texts count as empty; repeated rows each get a row; empty tables give none. A worker
+    holds CHUNK_BYTES of texts, or one longer text, and a bounded memory of parts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(model_path)
-        for b in batches:
-            got = [bpe.digest(t or "") for t in b.column(1).to_pylist()]
-            cols = [pa.array([g[j] for g in got], kind) for j, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for b in byte_chunks(batches, "text", CHUNK_BYTES):
+            n, ids, shown = bpe.digests(b.column(1).fill_null(""))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(ids, pa.string()), pa.array(shown, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = narrow(docs, id=id_col, text=F.col(f"`{text_col}`").cast("string"))
     return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
