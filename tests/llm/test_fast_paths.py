@@ -1,39 +1,58 @@
-"""The quicker ways through words and long index lists give what the plain ways give."""
+"""The quicker ways through words give what the plain ways give."""
 
+import hashlib
 import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import sentencepiece
 from tokenizers import Tokenizer
 
-from shutterlake.llm import lang_id, near_dedup, packing
+from shutterlake.llm import common, lang_id, packing, sp_bpe
 
 
-def test_word_ids_equal_those_of_whole_texts(monkeypatch):
-    monkeypatch.setattr(packing, "CACHE_WORDS", 50)  # most words are learned again and again
-    monkeypatch.setattr(packing, "JOINED", 7)
+ODD = ["a", "Be", " ", "  ", "\n", "\t", "'", "'s", "!", "?!", "<|endoftext|>", "<|", "<s>", "12", "é", "²", "½", "中", "\U0001f600", "\x1c", "\x85", "\u00a0", "\u3000", " word", "\r\n", "\x00", "▁", "▁▁", "the", "ing"]
+
+
+def odd_texts(n, seed=3):
+    r = random.Random(seed)
+    return ["", " ", "\n", *["".join(r.choice(ODD) for _ in range(r.randint(0, 16))) for _ in range(n)]]
+
+
+def test_part_ids_equal_those_of_whole_texts(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_PARTS", 50)  # most parts are learned again and again
     path = public_tokenizers.path("byte_bpe_50k.json")
-    whole, own, r = Tokenizer.from_file(path), packing.WordTokenizer(path, 0), random.Random(3)
-    parts = ["a", "Be", " ", "  ", "\n", "\t", "'s", "!", "?!", "<|endoftext|>", "<|", "12", "é", "中", "\U0001f600", "\x1c", "\x85", " word", "\r\n"]
-    texts = ["", " ", "\n", *["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(5000)]]
+    whole, own, texts = Tokenizer.from_file(path), packing.PartTokenizer(path, 0), odd_texts(6000)
     for i in range(0, len(texts), 100):
-        want = [np.array([*e.ids, 0], "<u4").tobytes() for e in whole.encode_batch(texts[i : i + 100], add_special_tokens=False)]
-        assert own.encode(texts[i : i + 100]) == want
-    assert len(own.known) <= 50
-
-
-def test_long_index_lists_lose_no_chain(monkeypatch):
-    r = np.random.default_rng(0)
-    rows = [np.zeros(48, np.uint8)]
-    for k in range(600):  # a walk: neighbours are near, its ends are not
-        rows.append(rows[-1].copy() if k % 150 else r.integers(0, 256, 48, dtype=np.uint8))
-        rows[-1][r.integers(0, 48)] ^= 1 << r.integers(0, 8)
-    x, most = np.array(rows)[r.permutation(len(rows))].view(np.uint64), near_dedup.shingle_bits(0.8)
-    plain = near_dedup._link_run(x, most)
-    monkeypatch.setattr(near_dedup, "ALL_PAIRS", 10)
-    monkeypatch.setattr(near_dedup, "COMPARED", 100)
-    assert (near_dedup._link_run(x, most) == plain).all()
-    assert not near_dedup.near(x[:1], x, most).all()
+        raw, at = own.encode(pa.array(texts[i : i + 100]))
+        got = [bytes(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        assert got == [np.array([*e.ids, 0], "<u4").tobytes() for e in whole.encode_batch(texts[i : i + 100], add_special_tokens=False)]
+    assert len(own.known.young) + len(own.known.old) < 2000
+
+
+def test_part_pieces_equal_those_of_the_library(monkeypatch):
+    monkeypatch.setattr(sp_bpe, "CACHE_PARTS", 50)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib, own, texts = sentencepiece.SentencePieceProcessor(model_file=path), sp_bpe.PrefixTableBpe(path), odd_texts(6000, 5)
+    for i in range(0, len(texts), 100):
+        n, ids, shown = own.digests(pa.array(texts[i : i + 100]))
+        want = [lib.encode(t) for t in texts[i : i + 100]]
+        assert n.tolist() == [len(w) for w in want]
+        assert ids == [hashlib.sha256(",".join(map(str, w)).encode()).hexdigest() for w in want]
+        assert shown == [hashlib.sha256(lib.decode(w).encode()).hexdigest() for w in want]
+    parts, _ = own.parts(pa.array(texts))
+    for p in parts.dictionary.to_pylist():  # the prefix table gives what the definition gives
+        p = p.decode().replace(" ", "▁")
+        assert own.split(p) == own.merge(p)
+
+
+def test_memory_lets_go_and_keeps_what_is_used():
+    calls, m = [], common.Memory(4, 3)
+    f = lambda new: calls.extend(new) or [k * 2 for k in new]
+    for k in range(50):
+        assert m.all([b"a", b"%d" % k, b"longer"], f) == [b"aa", b"%d%d" % (k, k), b"longerlonger"]
+    assert calls.count(b"a") == 1 and calls.count(b"longer") == 50 and len(m.young) + len(m.old) <= 8
 
 
 def test_language_sample_is_the_least_hashes(spark, monkeypatch):
