@@ -56,8 +56,8 @@ def _seen(bits: int):
     return run
 
 
-def _repeated(bits: int):
-    """Then, for each slice: the positions met twice over all tasks, as a bitmap. Holds two bits a position."""
+def _joined(bits: int, least: int):
+    """Then, for each slice: the positions met once or twice at least over all tasks, as a bitmap. Holds two bits a position."""
 
     def run(batches):
         once, twice = {}, {}
@@ -69,24 +69,29 @@ def _repeated(bits: int):
                 twice[k][at[once[k][at]]] = True
                 twice[k][np.frombuffer(y, np.uint32)] = True
                 once[k][at] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(twice), pa.int32()), pa.array([np.packbits(v).tobytes() for v in twice.values()], pa.binary())], ["slice", "map"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(twice), pa.int32()), pa.array([np.packbits(v).tobytes() for v in (twice if least > 1 else once).values()], pa.binary())], ["slice", "map"])
 
     return run
 
 
-def repeated_filter(hashes: DataFrame, rows: int, max_bytes: int) -> tuple[np.ndarray, int]:
-    """The bitmap of positions that two or more rows of hashes (one long column) set; at most max_bytes."""
+def position_filter(hashes: DataFrame, rows: int, max_bytes: int, least: int, prepare=None) -> tuple[np.ndarray, int]:
+    """The bitmap of positions that least rows (1 or 2) of hashes (one long column) set at least; at most max_bytes.
+
+    prepare makes the long column from batches of other columns, in the same pass.
+    """
     bits = filter_bits(rows, max_bytes)
     slices = max(1, bits // SLICE)
-    met = map_arrow(hashes, _seen(bits), "slice int, once binary, twice binary").repartition(slices, "slice")
+    seen = _seen(bits)
+    met = map_arrow(hashes, seen if prepare is None else lambda batches: seen(prepare(batches)), "slice int, once binary, twice binary").repartition(slices, "slice")
     whole = np.zeros(bits // 8, np.uint8)
-    for r in map_arrow(met, _repeated(bits), "slice int, map binary").collect():  # max_bytes in all
+    for r in map_arrow(met, _joined(bits, least), "slice int, map binary").collect():  # max_bytes in all
         part = np.frombuffer(bytes(r["map"]), np.uint8)
         whole[r["slice"] * SLICE // 8 :][: len(part)] = part
     return whole, bits
 
 
-def _maybe_udf(spark, bitmap: np.ndarray, bits: int):
+def maybe_udf(spark, bitmap: np.ndarray, bits: int):
+    """Whether the filter lets a hash through."""
     sent = spark.sparkContext.broadcast(bitmap)
 
     def maybe(h: pd.Series) -> pd.Series:
@@ -114,7 +119,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = cut_lineage(_hashed(docs, id_col, text_col))
     total = rows.count()
-    maybe = _maybe_udf(docs.sparkSession, *repeated_filter(rows.select("h"), total, max_filter_bytes))
+    maybe = maybe_udf(docs.sparkSession, *position_filter(rows.select("h"), total, max_filter_bytes, 2))
     marked = rows.withColumn("maybe", maybe("h"))
     alone = marked.filter("NOT maybe").select("id", "sha", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     rest = marked.filter("maybe").select("id", "sha")
@@ -129,7 +134,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"), 256)
     rows = cut_lineage(_hashed(docs, id_col, text_col))
     total = rows.count()
-    maybe = _maybe_udf(docs.sparkSession, *repeated_filter(rows.select("h"), total, max_filter_bytes))
+    maybe = maybe_udf(docs.sparkSession, *position_filter(rows.select("h"), total, max_filter_bytes, 2))
     wide = docs.withColumn("__sha", key).withColumn("__maybe", maybe(F.xxhash64("__sha")))
     groups = rows.withColumn("__maybe", maybe("h")).filter("__maybe").groupBy(F.col("sha").alias("__sha")).agg(F.max("id").alias("__keep"), F.count(F.lit(1)).alias("__size"))
     rest = spread_join(wide.filter("__maybe"), groups, "__sha", "__size", total)

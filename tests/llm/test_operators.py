@@ -96,29 +96,6 @@ def test_exact_dedup(docs):
     assert sorted(rows_of(kept), key=str) == sorted({(w[0], t) for w, (_, t) in zip(want, rows, strict=True) if w[3]}, key=str)
 
 
-def test_substring_dedup(docs):
-    rows = sorted({(i is None, i or 0, i, t) for i, t in rows_of(docs)}, key=lambda r: r[:2])
-    seen, want = set(), {}
-    for _, _, i, t in rows:
-        kept, spans, at = [], [], 0
-        for n, line in enumerate((t or "").split("\n")):
-            unit = " ".join(line.casefold().split())
-            if len(unit.split()) >= 8 and unit in seen:
-                spans.append((n, at, at + len(line)))
-            else:
-                kept.append(line)
-            if len(unit.split()) >= 8:
-                seen.add(unit)
-            at += len(line) + 1
-        want[i] = (t if not spans else "\n".join(kept), spans)
-    got = substring_dedup.dedup_lines(docs)
-    assert got.columns == [*docs.columns, "removed_spans"]
-    found = got.select("doc_id", "text", "removed_spans").collect()
-    assert len(found) == docs.count()
-    for r in found:
-        assert (r["text"], [tuple(s) for s in r["removed_spans"]]) == want[r["doc_id"]]
-
-
 def test_language_id(spark, sf, docs):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     model = lang_id.train(table, ~lang_id.held_out("doc_id", 4))
