@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import map_arrow, narrow
+from shutterlake.llm.common import byte_chunks, map_arrow, narrow
 
 # HTML's element names by kind.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -25,83 +25,161 @@ HIDDEN = frozenset("applet audio button canvas datalist head iframe map math noe
 RAW = frozenset("iframe noembed noframes noscript script style textarea title xmp".split())
 #: Elements that the start of the same kind closes, within the nearest list, table or other box.
 SELF_CLOSING = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "option": ("select", "datalist"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
+#: Elements that the start of either closes.
+ALIKE = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}
 #: Words that are told as features wherever they stand in a block.
 CUES = frozenset("advertisement comment comments cookie cookies copyright login menu newsletter privacy related reply rights search share sponsored subscribe terms".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?:/?[a-zA-Z][^<]*)$", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
 _ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[a-z]+|\d+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-@dataclass
+@dataclass(slots=True)
+class Node:
+    """An open element; what is told of all its ancestors is carried along, so that depth costs nothing."""
+
+    tag: str
+    names: tuple[str, ...]
+    above: Node | None
+    boxes: int
+    box: str
+    outer: str
+    score: float
+
+
+@dataclass(slots=True)
 class Block:
     """Text between two borders of block elements, with what is needed for its features."""
 
-    path: tuple[str, ...]
-    names: tuple[str, ...]
+    node: Node | None
     text: str
     linked: int
 
+    @property
+    def score(self) -> float:
+        return self.node.score if self.node else 0.0
+
 
-def blocks(html: str) -> list[Block]:
+def _tags(html: str) -> Iterator[tuple[str, bool, str, str, int]]:
+    """(text before, whether it ends an element, name, attributes, place after) of each tag; last, the text after all tags.
+
+    One scan forward: each place is passed a bounded number of times. A quoted value may hold `>`; a quote without its
+    end counts as a plain character. Comments, declarations and an unended tag at the end of the page are left out. The
+    receiver may send a place to go on from.
+    """
+    at, n, last = 0, len(html), {c: html.rfind(c) for c in ">\"'"}
+    kept: list[str] = []
+    while at < n:
+        lt = html.find("<", at)
+        if lt < 0:
+            break
+        kept.append(html[at:lt])
+        if html.startswith("<!--", lt):
+            end = html.find("-->", lt + 4)
+            at = n if end < 0 else end + 3
+            continue
+        if html.startswith(("<!", "<?"), lt):
+            at = html.find(">", lt) + 1 or n
+            continue
+        m = _TAG.match(html, lt) if lt < last[">"] else None
+        if m is None:
+            if lt + 1 < n and (html[lt + 1].isascii() and html[lt + 1].isalpha() or html[lt + 1] == "/") and lt > last[">"] and html.find("<", lt + 1) < 0:
+                at = n
+                break
+            kept.append("<")
+            at = lt + 1
+            continue
+        i = m.end()
+        while (stop := _STOP.search(html, i)) is not None and stop[0] != ">":
+            i = html.find(stop[0], stop.end()) + 1 if stop.start() < last[stop[0]] else stop.end()
+        if stop is None:  # the rest is one quoted value; the tag ends at its first end instead
+            stop = re.compile(">").search(html, m.end())
+        at = stop.end()
+        to = yield "".join(kept), bool(m[1]), m[2].lower(), html[m.end() : stop.start()], at
+        kept.clear()
+        if to is not None:
+            at = to
+            yield "", False, "", "", at  # what send() gives
+    yield "".join([*kept, html[at:]]), False, "", "", n
+
+
+def blocks(html: str, weights: dict[str, float] | None = None) -> list[Block]:
     """The page's leaf blocks that have text, in page order: references decoded, white space as one space, trimmed.
 
     Inline elements and line breaks don't part a block. Unclosed elements end with the element around them, an unended
-    tag at the end of the page is dropped, and end tags without a start are ignored.
+    tag at the end of the page is dropped, and end tags without a start are ignored. Takes time in proportion to the
+    page, however it is nested or broken. A block's score is the sum of its ancestors' weights.
     """
+    weights = weights or {}
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Node] = []
+    where: dict[str, list[int]] = {}  # places in the stack, by tag
+    boxes: list[int] = []  # places of block elements
+    active: dict[str, int] = {}  # features of the open elements
     parts: list[str] = []
-    linked, links, hidden, at = 0, 0, 0, 0
+    linked, links, hidden = 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(tuple(t for t, _ in stack), tuple(n for _, names in stack for n in names), text, linked))
+                out.append(Block(stack[-1] if stack else None, text, linked))
             parts.clear()
         linked = 0
 
     def pop(to: int) -> None:
         nonlocal links, hidden
-        if any(t in BLOCK for t, _ in stack[to:]):
+        if boxes and boxes[-1] >= to:
             flush()
-        for t, _ in stack[to:]:
-            links -= t == "a"
-            hidden -= t in HIDDEN
-        del stack[to:]
+        while len(stack) > to:
+            node = stack[-1]
+            where[node.tag].pop()
+            for f in _told(node):
+                active[f] -= 1
+            links -= node.tag == "a"
+            hidden -= node.tag in HIDDEN
+            stack.pop()
+        while boxes and boxes[-1] >= to:
+            boxes.pop()
+
+    def push(name: str, names: tuple[str, ...]) -> None:
+        nonlocal links, hidden
+        above = stack[-1] if stack else None
+        box = name in BLOCK and name not in ("html", "body")
+        node = Node(name, names, above, (above.boxes if above else 0) + box, name if box else above.box if above else "-", (above.box if above else "-") if box else above.outer if above else "-", above.score if above else 0.0)
+        for f in _told(node):
+            if not active.get(f):
+                node.score += weights.get(f, 0.0)
+            active[f] = active.get(f, 0) + 1
+        where.setdefault(name, []).append(len(stack))
+        if name in BLOCK:
+            boxes.append(len(stack))
+        stack.append(node)
+        links += name == "a"
+        hidden += name in HIDDEN
 
-    def said(text: str) -> None:
-        nonlocal linked
+    def nearest(names: tuple[str, ...]) -> int:
+        return max((where[n][-1] for n in names if where.get(n)), default=-1)
+
+    tags = _tags(html)
+    for text, ends, name, attributes, at in tags:
         if text and not hidden:
             text = entities.unescape(text)
             parts.append(text)
             if links:
                 linked += len(text.strip())
-
-    n = len(html)
-    while at < n:
-        m = _TOKEN.search(html, at)
-        if m is None:
-            said(html[at:])
-            break
-        said(html[at : m.start()])
-        at = m.end()
-        name = m[2] and m[2].lower()
         if not name:
             continue
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop(i)
-                    break
-                if stack[i][0] in ("td", "th", "table") and name not in BLOCK:
-                    break
-            else:
-                if name in BLOCK:
-                    flush()
+        if ends:
+            i = nearest((name,))
+            if i >= 0 and (name in BLOCK or i > nearest(("td", "th", "table"))):
+                pop(i)
+            elif name in BLOCK:
+                flush()
             continue
         if name == "br" or name == "hr":
             if name == "hr":
@@ -110,33 +188,28 @@ def blocks(html: str) -> list[Block]:
                 parts.append(" ")
             continue
         if name in BLOCK:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    pop(i)
-                    break
-                if stack[i][0] in BLOCK:
-                    break
+            if boxes and stack[boxes[-1]].tag == "p":
+                pop(boxes[-1])
             flush()
         if name in SELF_CLOSING:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name or {stack[i][0], name} == {"dd", "dt"} or {stack[i][0], name} == {"td", "th"}:
-                    pop(i)
-                    break
-                if stack[i][0] in SELF_CLOSING[name]:
-                    break
-        if name in VOID or m[3].rstrip().endswith("/") and name not in BLOCK:
+            i = nearest(ALIKE.get(name, (name,)))
+            if i > nearest(SELF_CLOSING[name]):
+                pop(i)
+        if name in VOID or attributes.rstrip().endswith("/") and name not in BLOCK:
             continue
         if name in RAW:
             end = re.compile(f"</{name}[\\s/>]", re.I).search(html, at)
-            at = n if end is None else html.find(">", end.start()) + 1 or n
+            tags.send(len(html) if end is None else html.find(">", end.start()) + 1 or len(html))
             continue
-        stack.append((name, _names(m[3]) if m[3] else ()))
-        links += name == "a"
-        hidden += name in HIDDEN
+        push(name, (_names(attributes) if len(attributes) < 300 else _names.__wrapped__(attributes)) if attributes else ())
     flush()
     return out
 
 
+def _told(node: Node) -> list[str]:
+    return [*([f"in={node.tag}"] if node.tag not in ("html", "body") else []), *(f"name={n}" for n in dict.fromkeys(node.names))]
+
+
 @lru_cache(10_000)
 def _names(attributes: str) -> tuple[str, ...]:
     return tuple(w for m in _ATTR.finditer(attributes) for w in _NAME.findall(_CAMEL.sub(" ", m[2] or m[3] or m[4] or "").lower()))
@@ -146,17 +219,22 @@ def _step(x: float, cuts: tuple[float, ...]) -> int:
     return sum(x >= c for c in cuts)
 
 
-@lru_cache(20_000)
-def _structure(path: tuple[str, ...], names: tuple[str, ...]) -> tuple[str, ...]:
-    """Features of a block's ancestors: their tags, the nearest ones apart, and words of their classes, ids and roles."""
-    boxes = [t for t in path if t in BLOCK and t not in ("html", "body")]
-    out = {f"in={t}" for t in path if t not in ("html", "body")} | {f"name={n}" for n in names}
-    out |= {f"own={boxes[-1] if boxes else '-'}", f"pair={'/'.join(boxes[-2:])}", f"deep={min(len(boxes), 6)}"}
-    return tuple(sorted(out))
+def ancestors(node: Node | None) -> set[str]:
+    """Features of a block's ancestors: their tags, and words of their classes, ids and roles."""
+    out: set[str] = set()
+    while node:
+        out.update(_told(node))
+        node = node.above
+    return out
 
 
 def features(found: list[Block]) -> list[list[str]]:
-    """The features of each block of a page: ancestors, text, place, and the text kinds of the blocks beside it."""
+    """All features of each block of a page."""
+    return [[*f, *sorted(ancestors(b.node))] for b, f in zip(found, own_features(found), strict=True)]
+
+
+def own_features(found: list[Block]) -> list[list[str]]:
+    """The features of each block other than its ancestors: text, nearest boxes, place, and the text kinds of the blocks beside it."""
     kinds, own = [], []
     for b in found:
         words = b.text.split()
@@ -174,7 +252,8 @@ def features(found: list[Block]) -> list[list[str]]:
     out = []
     for i, b in enumerate(found):
         near = [f"before={kinds[i - 1] if i else '-'}", f"after={kinds[i + 1] if i + 1 < len(found) else '-'}"]
-        out.append([*own[i], *near, *_structure(b.path, b.names)])
+        boxes = [f"own={b.node.box}", f"pair={b.node.outer}/{b.node.box}", f"deep={min(b.node.boxes, 6)}"] if b.node else ["own=-", "pair=-/-", "deep=0"]
+        out.append([*own[i], *near, *boxes])
     return out
 
 
@@ -185,12 +264,12 @@ class Crf:
     weights: dict[str, float]
     steps: tuple[tuple[float, float], tuple[float, float]]
 
-    def decode(self, found: list[list[str]]) -> list[bool]:
-        """Viterbi: the best sequence of labels; ties go to `not`."""
+    def decode(self, found: list[list[str]], scores: list[float] | None = None) -> list[bool]:
+        """Viterbi: the best sequence of labels; ties go to `not`. scores adds to what the features give each block."""
         (a, b), (c, d) = self.steps
         get, back, no, yes = self.weights.get, [], 0.0, 0.0
         for i, f in enumerate(found):
-            s = 0.0
+            s = scores[i] if scores else 0.0
             for x in f:
                 s += get(x, 0.0)
             if i == 0:
@@ -339,11 +418,20 @@ class _Maker:
             r.shuffle(top)
         inner = [x for what in ("comments",) if r.random() < 0.12 for x in self.boiler(what)]
         low = [x for what in ("ad", "side", "comments", "form", "nav", "foot", "notice") if r.random() < 0.45 for x in self.boiler(what)]
-        frame = r.choice(self.ARTICLE) if r.random() < 0.93 else "div"
-        if r.random() < 0.3:
+        k = r.random()
+        frame = r.choice(self.ARTICLE) if k < 0.76 else "div" if k < 0.82 else f"div class={self.word()}" if k < 0.88 else "table><tr><td" if k < 0.94 else ""
+        if frame and r.random() < 0.3:
             frame = r.choice(("div id=page", "div class=wrapper", "div class=container", "main")) + "><" + frame
+        if frame.endswith("td") and r.random() < 0.7:  # a layout table with a column of links, and perhaps rows above and below
+            inner.append(("</td><td>" + "".join(self.wrap(r.choice(("div", "li", "p")), self.link(r.randint(1, 3))) for _ in range(r.randint(2, 7))), False))
+            if r.random() < 0.5:
+                inner.append((f"</td></tr><tr><td>{self.wrap(r.choice(('font size=1', 'small', 'span', 'p')), self.sentence(2, 8))}", False))
+            if r.random() < 0.5:
+                inner, body = [], [(inner[0][0].removeprefix("</td><td>") + "</td><td>", False), *body, *inner[1:]]
+        if not frame and r.random() < 0.5:
+            inner.append((f"<hr>{self.wrap(r.choice(('address', 'small', 'p', 'div')), self.sentence(2, 8))}", False))
         marked = lambda parts: "".join(p if not ok else re.sub(r">([^<]*[^<\s])", lambda m: ">\x01" + m[1], ">" + p if not p.startswith("<") else p) for p, ok in parts)
-        page = f'<!DOCTYPE html><html><head><title>{self.sentence()}</title><style>p{{margin:0}}</style></head><body>{marked(top)}{self.wrap(frame, marked(body) + marked(inner))}{marked(low)}</body></html>'
+        page = f'<!DOCTYPE html><html><head><title>{self.sentence()}</title><style>p{{margin:0}}</style></head><body>{marked(top)}{self.wrap(frame, marked(body) + marked(inner)) if frame else marked(body) + marked(inner)}{marked(low)}</body></html>'
         labels = ["\x01" in b.text for b in blocks(page)]
         return page.replace("\x01", ""), labels
 
@@ -361,8 +449,8 @@ def model(pages: int = 700, seed: int = 0) -> Crf:
 
 
 def main_text(html: str | None, crf: Crf) -> str:
-    found = blocks(html or "")
-    return "\n\n".join(b.text for b, keep in zip(found, crf.decode(features(found)), strict=True) if keep)
+    found = blocks(html or "", crf.weights)
+    return "\n\n".join(b.text for b, keep in zip(found, crf.decode(own_features(found), [b.score for b in found]), strict=True) if keep)
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), crf: Crf | None = None) -> DataFrame:
@@ -374,7 +462,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
     sent = pages.sparkSession.sparkContext.broadcast(crf or model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in byte_chunks(batches, "__html", 4_000_000):
             text = [main_text(h, sent.value) for h in b.column(b.num_columns - 1).to_pylist()]
             cols = [*b.columns[:-1], pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:-1], "text", "n_chars"])
