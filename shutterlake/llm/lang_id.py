@@ -19,8 +19,9 @@ SCALE = 30.0
 #: FTRL: learning rate, its offset, and the elastic net's two penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
 EPOCHS = 3
-#: Bounds of the labelled sample that is collected for fitting: documents of each language, characters of a document.
-SAMPLE_DOCS, SAMPLE_CHARS = 1000, 20_000
+#: Bounds of the labelled sample that is collected for fitting: documents of each language, characters of a document, and
+#: documents of all languages, which share them evenly if there are very many.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ALL = 1000, 20_000, 20_000
 
 _FOLD: np.ndarray | None = None
 
@@ -156,6 +157,7 @@ def train(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id",
     sizes = rows.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not sizes:
         return fit([], [])
+    sample_docs = max(1, min(sample_docs, SAMPLE_ALL // len(sizes)))
     bound = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, (1.5 * sample_docs + 50) / r["n"]))])
     some = rows.filter(F.col("h") / 2.0**64 + 0.5 <= F.element_at(bound, F.col("lang")))
     found: dict[str, list[tuple[int, str]]] = {}
