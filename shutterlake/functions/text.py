@@ -61,7 +61,10 @@ def date_text(ms: Column, pattern: str) -> Column:
 
 
 def expand(template: str, columns: dict[str, Column]) -> Column:
-    """A file name from a template of {filename} {seq} {date} {rating} {camera} {folder} {id}; unknown values are empty."""
+    """A file name from a template of {filename} {seq} {date} {rating} {camera} {folder} {id}; unknown values are empty.
+
+    No leading dots and spaces, 240 bytes at most; a name of nothing gives way to the file's own, or the id's.
+    """
     parts, at = [], 0
     for m in _TOKEN.finditer(template):
         parts.append(F.lit(template[at : m.start()]))
@@ -74,10 +77,34 @@ def expand(template: str, columns: dict[str, Column]) -> Column:
         parts.append(F.coalesce(value.cast("string"), F.lit("")))
         at = m.end()
     parts.append(F.lit(template[at:]))
-    return safe_name(F.concat(*parts))
+    out = fit_bytes(F.regexp_replace(safe_name(F.concat(*parts)), r"^[. ]+", ""), 240)
+    plain = F.regexp_replace(safe_name(columns["filename"]), r"^[. ]+", "")
+    other = F.when(F.length(plain) > 0, plain).otherwise(F.concat(F.lit("image-"), columns["id"].cast("string")))
+    return F.when(F.length(F.trim(out)) > 0, out).otherwise(other)
 
 
 def claim_names(df: DataFrame, folder: str, name: str, ext: str, order: list[Column]) -> DataFrame:
-    """Column claimed: the name, with -2, -3 and so on for later rows whose name is equal but for case, per folder."""
-    n = F.row_number().over(Window.partitionBy(folder, F.lower(name), F.lower(ext)).orderBy(*order))
-    return df.withColumn("claimed", F.concat(F.col(name), F.when(n > 1, F.concat(F.lit("-"), n.cast("string"))).otherwise(F.lit("")), F.lit("."), F.col(ext)))
+    """Column claimed: the name or, if an earlier row claims it, with the first of -2, -3 and so on that is free.
+
+    Names are equal but for case, per folder; an earlier row is one that comes first in order. A name with a suffix may
+    be another row's own name, so names that are alike but for such a suffix are settled together, one group at a time;
+    a group's rows are held by one task.
+    """
+    number = F.row_number().over(Window.partitionBy(folder).orderBy(*order))
+    root = F.regexp_replace(F.lower(name), r"(-[0-9]+)+$", "")
+    rows = df.withColumn("__n", number).withColumn("__root", root)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def settle(pdf):
+        pdf = pdf.sort_values("__n")
+        taken, out = set(), []
+        for stem, suffix in zip(pdf[name], pdf[ext], strict=True):
+            made, k = stem, 1
+            while f"{made}.{suffix}".lower() in taken:
+                k += 1
+                made = f"{stem}-{k}"
+            taken.add(f"{made}.{suffix}".lower())
+            out.append(f"{made}.{suffix}")
+        return pdf.assign(claimed=out)
+
+    return rows.groupBy(folder, "__root", F.lower(ext)).applyInPandas(settle, f"{kinds}, claimed string").drop("__n", "__root")

@@ -134,7 +134,9 @@ def with_tags(df: DataFrame, tags: DataFrame, wanted: Sequence[str], match: str,
 
 
 def collapse_bursts(df: DataFrame, bursts: DataFrame) -> DataFrame:
-    """Without members of a burst other than its keeper; bursts whose keeper isn't set, or isn't there, show all."""
-    chosen = bursts.filter("keeper_id IS NOT NULL").join(df.select(F.col("id").alias("keeper_id")), "keeper_id", "left_semi")
-    hidden = df.join(chosen.select(F.col("id").alias("burst_id"), "keeper_id"), "burst_id").filter("id <> keeper_id").select("id")
-    return df.join(hidden, "id", "left_anti")
+    """Without members of a burst other than its keeper; bursts whose keeper isn't set show all.
+
+    Whether a keeper is among the rows doesn't matter: other filters may have taken it out, and its burst stays hidden.
+    """
+    chosen = bursts.filter("keeper_id IS NOT NULL").select(F.col("id").alias("__burst"), F.col("keeper_id").alias("__keeper"))
+    return df.join(chosen, (F.col("burst_id") == F.col("__burst")) & (F.col("id") != F.col("__keeper")), "left_anti")

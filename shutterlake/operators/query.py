@@ -142,7 +142,7 @@ def sort_key(sort: str, descending: bool) -> list[Column]:
     if sort == "target_moment":
         key = [col("moment_id").isNull(), col("moment_start").asc_nulls_last(), col("moment_id")]
         if descending:
-            key = [col("moment_id").isNull().desc(), col("moment_start").desc_nulls_first(), col("moment_id").desc()]
+            key = [col("moment_id").isNull(), col("moment_start").desc_nulls_first(), col("moment_id").desc()]
         return [*key, col("score").desc_nulls_last(), *up]
     raise p.InvalidArgument(f"no sort {sort}")
 

@@ -35,3 +35,32 @@ def bursts(df: DataFrame, key: str, time: str, row_id: str, score: str, max_gap:
         .withColumn("burst_pos", F.row_number().over(group.orderBy(time, row_id)))
         .withColumn("is_keeper", F.row_number().over(best) == 1)
     )
+
+
+def nearest(targets: DataFrame, anchors: DataFrame, keys: list[str], time: str, row_id: str) -> DataFrame:
+    """Each target with the anchor of its keys that is nearest in time, as nearest and gap_ms; the earlier on a tie.
+
+    Without keys the anchors are reduced to one row per time and met by range: both sides are dealt to buckets of time,
+    and each bucket carries the last anchor before it and the first one after it, so no task holds all rows.
+    """
+    at = anchors.groupBy(*keys, time).agg(F.min(row_id).alias("__a"))  # of anchors at one time the smallest id counts
+    if not keys:
+        width = 3_600_000
+        bucket = F.floor(F.col(time) / width)
+        targets, at = targets.withColumn("__b", bucket), at.withColumn("__b", bucket)
+        ends = at.groupBy("__b").agg(F.min(F.struct(time, "__a")).alias("first"), F.max(F.struct(time, "__a")).alias("last"))
+        wanted = ends.join(targets.select("__b").distinct(), "__b", "full")  # a row for each hour
+        w = Window.orderBy("__b")
+        around = wanted.select("__b", F.last("last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("p"), F.first("first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("n"))
+        more = around.select("__b", F.explode(F.array("p", "n")).alias("x")).filter("x IS NOT NULL").select("__b", f"x.{time}", "x.__a")
+        at = at.unionByName(more).dropDuplicates(["__b", time])
+        keys = ["__b"]
+    rows = targets.withColumn("__a", F.lit(None).cast("long")).withColumn("__x", F.lit(None).cast(f"struct<{time}:bigint,__a:bigint>"))
+    known = at.withColumn("__x", F.struct(F.col(time).cast("long").alias(time), F.col("__a").cast("long").alias("__a")))
+    both = rows.unionByName(known, allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy(time)
+    both = both.withColumn("__p", F.last("__x", True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.first("__x", True).over(w.rangeBetween(0, Window.unboundedFollowing)))
+    back, ahead = F.col(time) - F.col(f"__p.{time}"), F.col(f"__n.{time}") - F.col(time)
+    earlier = ahead.isNull() | (back <= ahead)
+    out = both.filter(F.col(row_id).isNotNull() & (F.col("__p").isNotNull() | F.col("__n").isNotNull()))
+    return out.withColumn("nearest", F.when(earlier, F.col("__p.__a")).otherwise(F.col("__n.__a"))).withColumn("gap_ms", F.when(earlier, back).otherwise(ahead))

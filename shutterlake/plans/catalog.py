@@ -26,7 +26,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from shutterlake.plans import catalog_queries, grouping_queries, sequence_queries  # noqa: F401
+    from shutterlake.plans import catalog_queries, function_queries, grouping_queries, relational_queries, sequence_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -38,7 +38,8 @@ _filter("flt08_tag_all", CatalogQuery(tags=["t1", "t4", "t1"], tag_match="all"),
 _filter("flt09_tag_exclude", CatalogQuery(exclude_tags=["t0", "t2"]), "i.id NOT IN (SELECT image_id FROM {tags} WHERE NOT suppressed AND tag IN ('t0', 't2'))")
 _filter("flt10_flag_origin_auto", CatalogQuery(pick_origin="auto"), "pick <> 'unflagged' AND pick_origin = 'auto'")
 _filter("flt10_flag_origin_user", CatalogQuery(pick_origin="user"), "pick <> 'unflagged' AND coalesce(pick_origin, 'user') <> 'auto'")
-_filter("flt11_collapse_bursts", CatalogQuery(collapse_bursts=True), "i.burst_id IS NULL OR NOT EXISTS (SELECT 1 FROM {bursts} b JOIN {images} k ON k.id = b.keeper_id WHERE b.id = i.burst_id AND b.keeper_id <> i.id)")
+_filter("flt11_collapse_bursts", CatalogQuery(collapse_bursts=True), "NOT EXISTS (SELECT 1 FROM {bursts} b WHERE b.id = i.burst_id AND b.keeper_id <> i.id)")
+_filter("flt11_collapse_of_unflagged", CatalogQuery(collapse_bursts=True, picks=["unflagged"], max_rating=3), "pick = 'unflagged' AND rating <= 3 AND NOT EXISTS (SELECT 1 FROM {bursts} b WHERE b.id = i.burst_id AND b.keeper_id <> i.id)")
 _filter("flt12_keeper_not_rejected", CatalogQuery(keeper_rule="not_rejected"), "pick <> 'reject'")
 _filter("flt12_keeper_chosen", CatalogQuery(keeper_rule="chosen", keeper_min_rating=2), "pick = 'pick' OR (pick <> 'reject' AND rating >= 2)")
 _filter("flt12_keeper_suggested", CatalogQuery(keeper_rule="chosen", keeper_min_rating=3, keeper_suggestions=True), "pick = 'pick' OR (pick <> 'reject' AND (rating >= 3 OR (rating = 0 AND coalesce(s.suggested_pick, '') = 'pick')))", _SCORES)
@@ -70,7 +71,13 @@ _ORDERS = {
     "file_name": ("file_name, id", "file_name DESC, id DESC"),
     "quality": ("overall DESC NULLS LAST, id", "overall ASC NULLS LAST, id DESC"),
     "rating": ("rating DESC, captured_at_ms ASC NULLS LAST, file_name, id", "rating ASC, captured_at_ms ASC NULLS LAST, file_name, id"),
+    "target_moment": (
+        "m.moment_id IS NULL, m.started ASC NULLS LAST, m.moment_id, m.score DESC NULLS LAST, captured_at_ms ASC NULLS LAST, file_name, id",
+        "m.moment_id IS NULL, m.started DESC NULLS FIRST, m.moment_id DESC, m.score DESC NULLS LAST, captured_at_ms ASC NULLS LAST, file_name, id",
+    ),
 }
+_MOMENTS = """LEFT JOIN (SELECT t.image_id, t.moment_id, t.score, min(k.captured_at_ms) OVER (PARTITION BY t.moment_id) AS started
+    FROM {selection} t JOIN {images} k ON k.id = t.image_id) m ON m.image_id = i.id"""
 
 
 def _sort(sort: str, descending: bool) -> None:
@@ -80,7 +87,8 @@ def _sort(sort: str, descending: bool) -> None:
         return query.page_ids(tables(spark, sf_dir), CatalogQuery(sort=sort, descending=descending, offset=7, limit=200)).select(F.col("pos").cast("long").alias("pos"), "id")
 
     order = _ORDERS[sort][descending]
-    sql = f"SELECT pos, id FROM (SELECT i.id, row_number() OVER (ORDER BY {order}) AS pos FROM {{images}} i {_SCORES}) WHERE pos BETWEEN 8 AND 207"
+    joins = _MOMENTS if sort == "target_moment" else _SCORES
+    sql = f"SELECT pos, id FROM (SELECT i.id, row_number() OVER (ORDER BY {order}) AS pos FROM {{images}} i {joins}) WHERE pos BETWEEN 8 AND 207"
     register(f"srt01_{sort}_{'down' if descending else 'up'}", oracle(sql))(run)
 
 
@@ -89,21 +97,34 @@ for _name in _ORDERS:
     _sort(_name, True)
 
 
-@register("agg01_filter_counts", oracle("""
-    SELECT count(*) AS total, count(*) FILTER (rating = 0) AS r0, count(*) FILTER (rating = 5) AS r5, count(*) FILTER (pick = 'pick') AS picks, count(*) FILTER (pick = 'reject') AS rejects,
-           count(*) FILTER (pick = 'unflagged') AS unflagged, count(DISTINCT burst_id) AS bursts, count(*) FILTER (missing_since_ms IS NOT NULL) AS missing,
-           count(*) FILTER (pick = 'unflagged' AND rating = 0 AND s.suggested_pick = 'pick') AS suggested_picks
-    FROM {images} i LEFT JOIN {scores} s ON s.image_id = i.id"""))
+_PENDING = "pick = 'unflagged' AND rating = 0 AND s.suggested_pick"
+
+
+@register("agg01_filter_counts", oracle(f"""
+    SELECT count(*) AS total, {", ".join(f"count(*) FILTER (rating = {r}) AS r{r}" for r in range(6))}, count(*) FILTER (pick = 'pick') AS picks, count(*) FILTER (pick = 'reject') AS rejects,
+           count(*) FILTER (pick NOT IN ('pick', 'reject')) AS unflagged, count(DISTINCT burst_id) AS bursts,
+           (SELECT count(*) FROM {{images}} k JOIN {{bursts}} b ON b.id = k.burst_id WHERE b.keeper_id <> k.id) AS non_keepers,
+           count(*) FILTER (missing_since_ms IS NOT NULL) AS missing, count(*) FILTER ({_PENDING} = 'pick') AS suggested_picks, count(*) FILTER ({_PENDING} = 'reject') AS suggested_rejects,
+           count(*) FILTER ({_PENDING} NOT IN ('pick', 'reject') AND s.suggested_rating > 0) AS suggested_ratings
+    FROM {{images}} i LEFT JOIN {{scores}} s ON s.image_id = i.id"""))
 def agg01_filter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = view(spark, sf_dir, "images").join(view(spark, sf_dir, "scores").select(F.col("image_id").alias("id"), "suggested_pick"), "id", "left")
-    pick, rating = F.col("pick"), F.col("rating")
+    scores = view(spark, sf_dir, "scores").select(F.col("image_id").alias("id"), "suggested_pick", "suggested_rating")
+    keepers = view(spark, sf_dir, "bursts").select(F.col("id").alias("burst_id"), "keeper_id")
+    df = view(spark, sf_dir, "images").select("id", "pick", "rating", "burst_id", "missing_since_ms").join(scores, "id", "left").join(keepers, "burst_id", "left")
+    pick, rating, told = F.col("pick"), F.col("rating"), F.col("suggested_pick")
+    pending = (pick == "unflagged") & (rating == 0)
     return df.agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(rating == 0).alias("r0"), F.count_if(rating == 5).alias("r5"), F.count_if(pick == "pick").alias("picks"), F.count_if(pick == "reject").alias("rejects"),
-        F.count_if(pick == "unflagged").alias("unflagged"), F.countDistinct("burst_id").alias("bursts"), F.count_if(F.col("missing_since_ms").isNotNull()).alias("missing"),
-        F.count_if((pick == "unflagged") & (rating == 0) & (F.col("suggested_pick") == "pick")).alias("suggested_picks"),
+        F.count(F.lit(1)).alias("total"), *[F.count_if(rating == r).alias(f"r{r}") for r in range(6)], F.count_if(pick == "pick").alias("picks"), F.count_if(pick == "reject").alias("rejects"),
+        F.count_if(~pick.isin("pick", "reject")).alias("unflagged"), F.countDistinct("burst_id").alias("bursts"), F.count_if(F.col("keeper_id") != F.col("id")).alias("non_keepers"), F.count_if(F.col("missing_since_ms").isNotNull()).alias("missing"),
+        F.count_if(pending & (told == "pick")).alias("suggested_picks"), F.count_if(pending & (told == "reject")).alias("suggested_rejects"), F.count_if(pending & ~told.isin("pick", "reject") & (F.col("suggested_rating") > 0)).alias("suggested_ratings"),
     )
 
 
+@register("agg01_tag_counts", oracle("SELECT tag, count(*) AS n FROM {tags} WHERE NOT suppressed GROUP BY tag"))
+def agg01_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "tags").filter("NOT suppressed").groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("agg05_cascading_facets", oracle("""
     WITH f AS (SELECT * FROM {images})
     SELECT 'format' AS facet, format AS value, count(*) AS n FROM f WHERE rating >= 2 AND iso BETWEEN 199 AND 501 GROUP BY format

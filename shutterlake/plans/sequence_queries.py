@@ -61,57 +61,60 @@ def win12_value_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("jon12_nearest_in_time", oracle("""
-    WITH a AS (SELECT id, folder_id, captured_at_ms AS t FROM {images} WHERE captured_at_ms IS NOT NULL AND pick = 'pick'),
+    WITH a AS (SELECT id, folder_id, captured_at_ms AS t FROM {images} WHERE captured_at_ms IS NOT NULL AND pick = 'pick' AND folder_id % 3 <> 0),
     q AS (SELECT id, folder_id, captured_at_ms AS t FROM {images} WHERE captured_at_ms IS NOT NULL AND pick = 'reject'),
-    r AS (SELECT q.id, a.id AS nearest, abs(a.t - q.t) AS gap_ms, row_number() OVER (PARTITION BY q.id ORDER BY abs(a.t - q.t), a.t, a.id) AS r FROM q JOIN a USING (folder_id))
-    SELECT id, nearest, gap_ms FROM r WHERE r = 1"""))
+    near AS (SELECT q.id, (SELECT min_by(struct_pack(id := a.id, gap := abs(a.t - q.t)), (abs(a.t - q.t), a.t, a.id)) FROM a WHERE a.folder_id = q.folder_id) AS own,
+                    (SELECT min_by(struct_pack(id := a.id, gap := abs(a.t - q.t)), (abs(a.t - q.t), a.t, a.id)) FROM a) AS any_key FROM q)
+    SELECT id, coalesce(own.id, any_key.id) AS nearest, coalesce(own.gap, any_key.gap) AS gap_ms FROM near"""))
 def jon12_nearest_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each rejected image the pick of its folder that is nearest in time, the earlier one on a tie.
-
-    One sort of both sides by folder and time gives each row the anchors before and after it; no pairs are made.
-    """
-    rows = _images(spark, sf_dir).filter("captured_at_ms IS NOT NULL AND pick IN ('pick', 'reject')").select("id", "folder_id", F.col("captured_at_ms").alias("t"), (F.col("pick") == "pick").alias("anchor"))
-    # of anchors at one time the smallest id counts, on either side
-    first = F.when(F.col("anchor"), F.min(F.when(F.col("anchor"), F.col("id"))).over(Window.partitionBy("folder_id", "t")))
-    known = F.when(F.col("anchor"), F.struct("t", first.alias("id")))
-    w = Window.partitionBy("folder_id").orderBy("t")
-    sided = rows.withColumn("at", known)
-    sided = sided.withColumn("before", F.last("at", True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("after", F.first("at", True).over(w.rangeBetween(0, Window.unboundedFollowing)))
-    back, ahead = F.col("t") - F.col("before.t"), F.col("after.t") - F.col("t")
-    earlier = ahead.isNull() | (back <= ahead)
-    out = sided.filter(~F.col("anchor") & (F.col("before").isNotNull() | F.col("after").isNotNull()))
-    return out.select("id", F.when(earlier, F.col("before.id")).otherwise(F.col("after.id")).alias("nearest"), F.when(earlier, back).otherwise(ahead).alias("gap_ms"))
-
-
-@register("agg04_cull_summary", oracle("""
-    SELECT count(*) AS total, count(*) FILTER (pick = 'pick') AS picked, count(*) FILTER (pick = 'reject') AS rejected, count(*) FILTER (pick = 'reject' AND pick_origin = 'auto') AS rejected_auto,
-           count(*) FILTER (pick = 'reject') - count(*) FILTER (pick = 'reject' AND pick_origin = 'auto') AS rejected_by_user,
-           count(*) - count(*) FILTER (pick = 'pick') - count(*) FILTER (pick = 'reject') AS unflagged,
-           count(*) FILTER (s.image_id IS NOT NULL) AS analysed, count(*) FILTER (s.image_id IS NOT NULL AND pick = 'unflagged' AND rating = 0) AS untouched,
-           count(*) FILTER (s.image_id IS NOT NULL AND pick = 'unflagged' AND rating = 0 AND suggested_pick = 'reject') AS pending_rejects
-    FROM {images} i LEFT JOIN {scores} s ON s.image_id = i.id"""))
+    """For each rejected image the pick nearest in time, of its folder if that has any, else of all; the earlier on a tie."""
+    rows = _images(spark, sf_dir).filter("captured_at_ms IS NOT NULL").select("id", "folder_id", F.col("captured_at_ms").alias("t"), "pick")
+    anchors = rows.filter("pick = 'pick' AND folder_id % 3 <> 0").select("id", "folder_id", "t")
+    targets = rows.filter("pick = 'reject'").select("id", "folder_id", "t")
+    own = sequence.nearest(targets, anchors, ["folder_id"], "t", "id")
+    lost = targets.join(anchors.select("folder_id").distinct(), "folder_id", "left_anti")
+    return own.select("id", "nearest", "gap_ms").unionByName(sequence.nearest(lost, anchors, [], "t", "id").select("id", "nearest", "gap_ms"))
+
+
+_KEPT = "(pick = 'pick' OR (pick <> 'reject' AND rating >= 1))"
+_SUMS = {
+    "total": "TRUE", "picked": "pick = 'pick'", "picked_auto": "pick = 'pick' AND pick_origin = 'auto'", "rejected": "pick = 'reject'", "rejected_auto": "pick = 'reject' AND pick_origin = 'auto'", "starred": "rating > 0",
+    "starred_unflagged": "pick NOT IN ('pick', 'reject') AND rating >= 1", "suggested_unflagged": "pick NOT IN ('pick', 'reject') AND rating = 0 AND suggested_pick = 'pick'",
+    "pending_rejects": "image_id IS NOT NULL AND pick = 'unflagged' AND rating = 0 AND suggested_pick = 'reject'", "pending_picks": "image_id IS NOT NULL AND pick = 'unflagged' AND rating = 0 AND suggested_pick = 'pick'",
+    "pending_ratings": "image_id IS NOT NULL AND pick = 'unflagged' AND rating = 0 AND suggested_pick NOT IN ('pick', 'reject') AND suggested_rating > 0", "unanalysed": "image_id IS NULL", "keepers": _KEPT,
+}
+
+
+@register("agg04_cull_summary", oracle(f"""
+    WITH s AS (SELECT {", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in _SUMS.items())} FROM {{images}} i LEFT JOIN {{scores}} q ON q.image_id = i.id)
+    SELECT *, total - picked - rejected AS unflagged, rejected - rejected_auto AS rejected_by_user FROM s"""))
 def agg04_cull_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = view(spark, sf_dir, "scores").select(F.col("image_id").alias("id"), "suggested_pick", F.lit(True).alias("scored"))
-    df = _images(spark, sf_dir).select("id", "pick", "pick_origin", "rating").join(scores, "id", "left")
-    pick, known = F.col("pick"), F.col("scored").isNotNull()
-    untouched = known & (pick == "unflagged") & (F.col("rating") == 0)
-    out = df.agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(pick == "pick").alias("picked"), F.count_if(pick == "reject").alias("rejected"), F.count_if((pick == "reject") & (F.col("pick_origin") == "auto")).alias("rejected_auto"),
-        F.count_if(known).alias("analysed"), F.count_if(untouched).alias("untouched"), F.count_if(untouched & (F.col("suggested_pick") == "reject")).alias("pending_rejects"),
-    )
-    return out.withColumn("rejected_by_user", F.col("rejected") - F.col("rejected_auto")).withColumn("unflagged", F.col("total") - F.col("picked") - F.col("rejected"))
+    """Thirteen conditional counts in one pass; keepers are picks and what isn't rejected and has a star."""
+    scores = view(spark, sf_dir, "scores").select("image_id", "suggested_pick", "suggested_rating")
+    df = _images(spark, sf_dir).select("id", "pick", "pick_origin", "rating").join(scores, F.col("id") == F.col("image_id"), "left")
+    out = df.agg(*[F.count_if(F.expr(c)).alias(n) for n, c in _SUMS.items()])
+    return out.withColumn("unflagged", F.col("total") - F.col("picked") - F.col("rejected")).withColumn("rejected_by_user", F.col("rejected") - F.col("rejected_auto"))
 
 
 @register("agg09_selection_counts", oracle("""
-    SELECT project_id, choice, shot_type, count(*) AS n, count(*) FILTER (choice = 'deliver') AS delivered FROM {selection}
-    GROUP BY GROUPING SETS ((project_id, choice), (project_id, shot_type))"""))
+    WITH s AS (SELECT t.project_id, t.choice, t.shot_type, t.locked, CASE WHEN t.choice = 'not_sure' THEN 'not_sure' WHEN t.choice <> 'set_aside' THEN NULL
+               WHEN i.pick = 'reject' OR coalesce(q.suggested_pick, '') = 'reject' THEN 'defects'
+               WHEN json_extract_string(t.reasons_json, '$[0].kind') IN ('near_duplicate', 'not_best_of_setup') OR (t.covered_by IS NOT NULL AND t.covered_similarity >= 0.7E0) THEN 'similar' ELSE 'weaker' END AS pile
+               FROM {selection} t LEFT JOIN {images} i ON i.id = t.image_id LEFT JOIN {scores} q ON q.image_id = t.image_id)
+    SELECT project_id, 'choice' AS kind, choice AS value, count(*) AS n, count(*) FILTER (locked) AS locked, count(*) FILTER (choice = 'deliver') AS delivered FROM s GROUP BY project_id, choice
+    UNION ALL SELECT project_id, 'shot_type', shot_type, count(*), count(*) FILTER (locked), count(*) FILTER (choice = 'deliver') FROM s WHERE shot_type IS NOT NULL GROUP BY project_id, shot_type
+    UNION ALL SELECT project_id, 'pile', pile, count(*), count(*) FILTER (locked), 0 FROM s WHERE pile IS NOT NULL GROUP BY project_id, pile"""))
 def agg09_selection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by choice and by shot type from one pre-aggregated table of at most a few rows a project."""
-    small = view(spark, sf_dir, "selection").groupBy("project_id", "choice", "shot_type").agg(F.count(F.lit(1)).alias("n"))
-    given = F.sum(F.when(F.col("choice") == "deliver", F.col("n")).otherwise(0)).alias("delivered")
-    by_choice = small.groupBy("project_id", "choice").agg(F.sum("n").alias("n"), given).withColumn("shot_type", F.lit(None).cast("string"))
-    by_type = small.groupBy("project_id", "shot_type").agg(F.sum("n").alias("n"), given).withColumn("choice", F.lit(None).cast("string"))
-    return by_choice.unionByName(by_type).select("project_id", "choice", "shot_type", "n", "delivered")
+    """Counts by choice, shot type and pile from one pre-aggregated table of at most some hundred rows a project."""
+    col = F.col
+    scores = view(spark, sf_dir, "scores").select(col("image_id").alias("id"), "suggested_pick")
+    picks = _images(spark, sf_dir).select("id", "pick").join(scores, "id", "left").withColumnRenamed("id", "image_id")
+    rows = view(spark, sf_dir, "selection").join(picks, "image_id", "left")
+    rows = rows.withColumn("pile", predicates.pile(col("choice"), col("pick"), col("suggested_pick"), col("reasons_json"), col("covered_by"), col("covered_similarity")))
+    small = rows.groupBy("project_id", "choice", "shot_type", "pile").agg(F.count(F.lit(1)).alias("n"), F.count_if("locked").alias("locked"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), col(k).alias("value")) for k in ("choice", "shot_type", "pile")])
+    each = small.withColumn("delivered", F.when(col("choice") == "deliver", col("n")).otherwise(F.lit(0).cast("long"))).select("project_id", "n", "locked", "delivered", F.inline(kinds)).filter("value IS NOT NULL")
+    return each.groupBy("project_id", "kind", "value").agg(F.sum("n").alias("n"), F.sum("locked").alias("locked"), F.sum("delivered").alias("delivered"))
 
 
 @register("agg11_scene_columns", oracle("""
@@ -185,18 +188,25 @@ def sel06_apply_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("stm08_history_coalesced", oracle("""
-    WITH h AS (SELECT event_id, user_id, event_type, epoch_ms(ts) AS t FROM events WHERE ts IS NOT NULL),
-    c AS (SELECT *, CASE WHEN lead(event_type) OVER w = event_type AND lead(t) OVER w - t <= 3600000 THEN 0 ELSE 1 END AS stays FROM h WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
-    r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) AS r FROM c WHERE stays = 1)
-    SELECT event_id, user_id, r AS place FROM r WHERE r <= 200"""))
+    WITH h AS (SELECT event_id, user_id, event_type, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE ts IS NOT NULL),
+    c AS (SELECT *, CASE WHEN r > 2 AND lag(event_type) OVER w = event_type AND t - lag(t) OVER w <= 3600000 THEN 0 ELSE 1 END AS new FROM h WINDOW w AS (PARTITION BY user_id ORDER BY r)),
+    g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY r ROWS UNBOUNDED PRECEDING) AS entry FROM c),
+    e AS (SELECT user_id, min_by(event_id, r) AS event_id, count(*) AS commits, min(r) AS r FROM g GROUP BY user_id, entry),
+    p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY r DESC) AS place FROM e)
+    SELECT event_id, user_id, commits, place FROM p WHERE place <= 19 OR r = 1"""))
 def stm08_history_coalesced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log in which an entry of the same label soon after the last one replaces it; the newest 200 of each owner stay."""
+    """A log in which a commit of the last entry's label, soon after its update, updates that entry, whose id stays.
+
+    The first entry is the original: nothing merges into it, and it is never pruned; of the others the newest stay, so
+    that there are 20 in all.
+    """
     h = view(spark, sf_dir, "events").filter("ts IS NOT NULL").select("event_id", "user_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
     w = Window.partitionBy("user_id").orderBy("t", "event_id")
-    replaced = F.coalesce((F.lead("event_type").over(w) == F.col("event_type")) & (F.lead("t").over(w) - F.col("t") <= 3_600_000), F.lit(False))
-    left = h.withColumn("gone", replaced).filter("NOT gone")
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("t"), F.desc("event_id"))).cast("long")
-    return left.withColumn("place", place).filter("place <= 200").select("event_id", "user_id", "place")
+    same = (F.lag("event_type").over(w) == F.col("event_type")) & (F.col("t") - F.lag("t").over(w) <= 3_600_000) & (F.row_number().over(w) > 2)
+    entries = sequence.sessionize(h, ["user_id"], [F.col("t"), F.col("event_id")], ~F.coalesce(same, F.lit(False)), "entry")
+    entries = entries.groupBy("user_id", "entry").agg(F.min(F.struct("t", "event_id")).alias("first"), F.count(F.lit(1)).alias("commits"))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("entry"))).cast("long")
+    return entries.withColumn("place", place).filter("place <= 19 OR entry = 1").select("first.event_id", "user_id", "commits", "place")
 
 
 @register("mth08_exposure_value", oracle("""

@@ -96,11 +96,19 @@ def needs(name: str) -> tuple[str, ...]:
     return (*out, name)
 
 
+_ANALYSED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view of the catalog, or a table of the driver, as a DataFrame."""
-    if name not in VIEWS:
-        return table(spark, sf_dir, name)
-    text = VIEWS[name]
+    """A view of the catalog, or a table of the driver, as a DataFrame; analysed once for each session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _ANALYSED:
+        _ANALYSED[key] = run(spark, sf_dir, VIEWS[name]) if name in VIEWS else table(spark, sf_dir, name)
+    return _ANALYSED[key]
+
+
+def run(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """SQL over views and tables named in braces."""
     literal = text.replace("{", "{{").replace("}", "}}")  # braces of JSON texts stay; those of names don't
     return spark.sql(re.sub(r"\{\{(\w+)\}\}", r"{\1}", literal), **{n: view(spark, sf_dir, n) for n in dict.fromkeys(_NAME.findall(text))})
 
