@@ -24,8 +24,18 @@ def exif_ms(text: Column, subsec: Column | None = None) -> Column:
     return ms + F.when(digits == "", 0).otherwise(F.rpad(digits, 3, "0").cast("int"))
 
 
+def zoned_ms(text: Column) -> Column:
+    """ISO date and time as milliseconds: with a zone in UTC, without one as naive wall clock; null if malformed."""
+    zone = F.regexp_extract(text, r"(Z|[+-]\d{2}:\d{2})$", 1)
+    ts = F.try_to_timestamp(F.regexp_replace(F.regexp_extract(text, r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}", 0), "T", " "), F.lit("yyyy-MM-dd HH:mm:ss"))
+    hours, minutes = F.try_element_at(F.split(F.substring(zone, 2, 5), ":"), F.lit(1)).try_cast("int"), F.try_element_at(F.split(F.substring(zone, 2, 5), ":"), F.lit(2)).try_cast("int")
+    shift = F.when(zone.isin("", "Z"), 0).otherwise(F.when(zone.startswith("-"), -1).otherwise(1) * (hours * 60 + minutes))
+    return F.unix_millis(ts) - shift * 60_000
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    """Null stays null."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
 def ramp(low: float, high: float, x: Column) -> Column:
@@ -67,7 +77,8 @@ def scene_similarity(a: Column, b: Column) -> Column:
     """Of two structs luma, ab, ev, tint: histograms by Bhattacharyya coefficient, levels by a Gaussian of their distance."""
     apart = F.sqrt(F.aggregate(F.zip_with(a["tint"], b["tint"], lambda x, y: F.pow(x - y, F.lit(2))), F.lit(0.0), lambda s, v: s + v))
     level = F.exp(-F.pow((a["ev"] - b["ev"]) / 2, F.lit(2)) - F.pow(apart / 0.08, F.lit(2)))
-    return 0.35 * bhattacharyya(a["luma"], b["luma"]) + 0.35 * bhattacharyya(a["ab"], b["ab"]) + 0.3 * level
+    alike = lambda p, q: F.when((F.size(p) > 0) & (F.size(p) == F.size(q)), clamp(bhattacharyya(p, q), 0.0, 1.0)).otherwise(0.0)
+    return 0.35 * alike(a["luma"], b["luma"]) + 0.35 * alike(a["ab"], b["ab"]) + 0.3 * level
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -117,13 +128,14 @@ def prominence(box: Column) -> Column:
     return box["height"] * (1 - clamp(F.sqrt(dx * dx + dy * dy) / 0.75, 0.0, 1.0) * 0.5)
 
 
-def _linear(c: Column) -> Column:
+def linear(c: Column) -> Column:
+    """Linear light of an sRGB value."""
     return F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4)))
 
 
 def lab(r: Column, g: Column, b: Column) -> Column:
     """CIE L*a*b* (D65) of sRGB values in 0 to 1, as a struct l, a, b."""
-    r, g, b = _linear(r), _linear(g), _linear(b)
+    r, g, b = linear(r), linear(g), linear(b)
     f = lambda t: F.when(t > 216 / 24389, F.pow(t, F.lit(1 / 3))).otherwise((24389 / 27 * t + 16) / 116)
     x, y, z = f((0.4124564 * r + 0.3575761 * g + 0.1804375 * b) / 0.95047), f(0.2126729 * r + 0.7151522 * g + 0.072175 * b), f((0.0193339 * r + 0.119192 * g + 0.9503041 * b) / 1.08883)
     return F.struct((116 * y - 16).alias("l"), (500 * (x - y)).alias("a"), (200 * (y - z)).alias("b"))

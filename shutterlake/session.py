@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import sys
 import tempfile
 import zipfile
@@ -44,11 +46,20 @@ def ensure_workers(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; choose one only where it is unset."""
+    """Use the folder that the cluster names in spark.checkpoint.dir; only a local master may do without one.
+
+    The folder of a local session is removed when the process ends.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="shutterlake-checkpoints-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="shutterlake-checkpoints-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc.setCheckpointDir(named)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

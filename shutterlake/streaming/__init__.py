@@ -1 +1 @@
-
+"""Streams into the catalog's tables."""
