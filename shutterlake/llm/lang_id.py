@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import narrow
+from shutterlake.llm.common import byte_chunks, let_go, narrow
 
 UNDETERMINED = "und"
 #: n-grams of 1 to ORDERS characters are hashed to 2**HASH_BITS features.
@@ -23,6 +23,9 @@ EPOCHS = 3
 #: documents of all languages, which share them evenly if there are very many.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ALL = 1000, 20_000, 20_000
 
+#: Text that is told at once.
+CHUNK_BYTES = 500_000
+
 _FOLD: np.ndarray | None = None
 
 
@@ -175,19 +178,16 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, lang_score double")
-    def tell(text: pd.Series) -> pd.DataFrame:
-        names, scores, some, size = [], [], [], 0
-        values = text.tolist()
-        for i, t in enumerate(values):
-            some.append(t)
-            size += len(t or "")
-            if size >= 500_000 or i == len(values) - 1:
-                a, b = sent.value.predict(some)
-                names += a
-                scores.append(b)
-                some, size = [], 0
-        return pd.DataFrame({"lang_pred": names, "lang_score": np.concatenate(scores) if scores else np.zeros(0)})
+    @F.arrow_udf("lang_pred string, lang_score double")
+    def tell(text: pa.Array) -> pa.Array:
+        names, scores = [], []
+        for part in byte_chunks(iter([pa.RecordBatch.from_arrays([text], ["text"])]), "text", CHUNK_BYTES):
+            a, b = sent.value.predict(part.column(0).to_pylist())
+            names.append(pa.array(a, pa.string()))
+            scores.append(b)
+        let_go()
+        kinds = [pa.concat_arrays(names) if names else pa.array([], pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())]
+        return pa.StructArray.from_arrays(kinds, ["lang_pred", "lang_score"])
 
     names = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "__told")]
     told = docs.select(*[F.col(f"`{c}`") for c in names]).withColumn("__told", tell(F.col(f"`{text_col}`").cast("string")))

@@ -22,9 +22,9 @@ LINEAR = 4096
 #: Tokens that are packed together; bounds what a task holds, and leaves less than one sequence of padding each time.
 WINDOW = 1 << 20
 #: Parts whose ids a worker remembers in each of two generations, and bytes of the longest such part.
-CACHE_PARTS, CACHE_BYTES = 600_000, 64
+CACHE_PARTS, CACHE_BYTES = 150_000, 64
 #: Text that is encoded at once, and parts that are encoded in one call.
-CHUNK_BYTES, CALL = 4_000_000, 4096
+CHUNK_BYTES, CALL = 2_000_000, 4096
 
 #: White space beyond ASCII: a text that holds any isn't cut into parts.
 _ODD = "[\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"

@@ -23,7 +23,7 @@ from shutterlake.llm.common import Memory, byte_chunks, map_arrow, narrow
 
 SPACE = "▁"
 #: Parts whose encoding a worker remembers in each of two generations, and bytes of the longest such part.
-CACHE_PARTS, CACHE_BYTES = 400_000, 64
+CACHE_PARTS, CACHE_BYTES = 250_000, 64
 #: Text that is encoded at once.
 CHUNK_BYTES = 4_000_000
 #: Texts on which the model must agree with the library before it is used: the normalisation that is taken for granted.

@@ -23,7 +23,7 @@ MIN_WORDS, MIN_RUN = 8, 6
 #: A run begins at a word whose hash with the word before is less than those of so many words on either side.
 RADIUS = 4
 #: Text that is cut into units at once, and bytes of text for which a unit is reckoned in the filter's size.
-CHUNK_BYTES, UNIT_BYTES = 2_000_000, 48
+CHUNK_BYTES, UNIT_BYTES = 1_000_000, 48
 #: Upper bound of each of the two broadcast filters.
 MAX_FILTER_BYTES = 32 << 20
 
