@@ -43,9 +43,9 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model, other = lm_score.train(docs, ~lang_id.held_out("doc_id", 7))
-    done = lm_score.score(docs, model, other)
-    return done.select(F.col("id").alias("doc_id"), lang_id.held_out("id", 7).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    learned = ~lang_id.held_out("doc_id", 7)
+    done = lm_score.score(docs, trained := lm_score.train(docs, learned), learned)
+    return done.select(F.col("id").alias("doc_id"), lang_id.held_out("id", 7).alias("held_out"), "n_tokens", "n_known", F.lit(trained.model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,33 +111,61 @@ def brute_tokens(t):
     return [*WORD.findall((t or "").translate(LOWER)), None]
 
 
-@pytest.mark.parametrize("max_words", [2_000_000, 20])
-def test_language_model_scores(docs, max_words):
+def model_score(texts, trained_on):
+    """The definition of score, from exact counts rounded down to levels."""
+    uni, pair = collections.Counter(), collections.Counter()
+    for words in trained_on:
+        uni.update(words)
+        pair.update(zip([False, *words], words, strict=False))
+    size, rough = sum(uni.values()) + len(uni) + 1, lambda c: 1.5 ** math.floor(math.log(c) / math.log(1.5) + 1e-9) if c else 0.0
+    for words in texts:
+        total = 0.0
+        for a, b in zip([False, *words], words, strict=False):
+            context, joint = len(trained_on) if a is False else rough(uni[a]) * 1.5, rough(pair[a, b])
+            total += math.log10((joint + 4 * (rough(uni[b]) + 1) / size) / (max(context, joint) + 4))
+        yield total
+
+
+@pytest.mark.parametrize(("max_words", "max_bytes"), [(2_000_000, 96 << 20), (20, 96 << 20), (2_000_000, 3000), (20, 60_000)])
+def test_language_model_scores(docs, max_words, max_bytes, monkeypatch):
+    few = {"bits_a_level": 128}  # next to no false positives
     rows = rows_of(docs)
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     count = collections.Counter(w for i, t in rows if not held(i) for w in brute_tokens(t))
     total, distinct = sum(count.values()), len(count)
-    model, other = lm_score.train(docs, ~lang_id.held_out("doc_id", 7), max_words=max_words)
-    assert (model.total, model.distinct) == (total, distinct)
-    want = collections.Counter()
-    for i, t in rows:
+    trained = lm_score.train(docs, ~lang_id.held_out("doc_id", 7), max_words=max_words, max_filter_bytes=max_bytes, **few)
+    assert (trained.model.total, trained.model.distinct) == (total, distinct)
+    assert len(trained.model.word_keys) <= max_words and trained.model.bigrams.maps.nbytes <= max(max_bytes, 1 << 12)
+    whole = max_bytes > 1 << 20
+    assert bool((trained.model.bigrams.least > 2).any()) == (not whole) and (trained.words_left_out == 0) == whole
+    want = collections.defaultdict(list)
+    for (i, t), s in zip(rows, model_score([brute_tokens(t) for _, t in rows], [brute_tokens(t) for i, t in rows if not held(i)]), strict=True):
         words = brute_tokens(t)
         base = sum(math.log10((count[w] + 1) / (total + distinct + 1)) for w in words)
-        want[i, len(words), sum(count[w] > 0 for w in words), round(base, 4)] += 1
-    done = lm_score.score(docs, model, other).collect()
-    assert collections.Counter((r["id"], r["n_tokens"], r["n_known"], round(r["base_score"], 4)) for r in done) == want
-    assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in done)
-    assert sum(r["score"] for r in done) > sum(r["base_score"] for r in done)
+        want[i].append((len(words), sum(count[w] > 0 for w in words), base, s))
+    done = lm_score.score(docs, trained).collect()
+    told = lm_score.score(docs, trained, ~lang_id.held_out("doc_id", 7)).collect()  # fewer look-ups, the same scores
+    assert len(done) == len(rows) == len(told)
+    for r in [*done, *told]:
+        assert any((r["n_tokens"], r["n_known"]) == w[:2] and abs(r["base_score"] - w[2]) < 1e-4 for w in want[r["id"]])
+        if whole:
+            assert any(abs(r["score"] - w[3]) <= 0.002 * abs(w[3]) + 0.01 for w in want[r["id"]])
+    if not whole:  # the bigrams that the filter has no room for count all the same: they are told from a table
+        full = lm_score.train(docs, ~lang_id.held_out("doc_id", 7), **few)
+        monkeypatch.setattr(full.model, "unigrams", trained.model.unigrams)
+        scores = collections.defaultdict(list)
+        for r in lm_score.score(docs, full).collect():
+            scores[r["id"]].append(r["score"])
+        assert all(any(abs(r["score"] - s) <= 0.002 * abs(s) + 0.01 for s in scores[r["id"]]) for r in [*done, *told])
 
 
 def test_log_frequency_filter_never_underrates():
     keys = np.unique(np.random.default_rng(0).integers(1, 2**63, 5000).astype(np.uint64))
     count = np.random.default_rng(1).zipf(1.5, len(keys)).clip(1, 10**6)
-    held, bits, least = lm_score.build_slice(keys, count, 1 << 24)
+    held, bits, least = lm_score.build_slice(keys, lm_score.levels(count), 1 << 24)
     assert least == 1
-    got = lm_score.LogFrequencyFilter(64, np.frombuffer(held, np.uint8), np.zeros(1, np.int64), np.array([bits])).counts(keys)
-    exact = lm_score.value(lm_score.levels(count))
-    assert (got >= exact - 1e-9).all() and (np.isclose(got, exact)).mean() > 0.85
+    got = lm_score.LogFrequencyFilter(64, np.frombuffer(held, np.uint8), np.zeros(1, np.int64), np.array([bits]), np.array([1])).levels(keys)
+    assert (got >= lm_score.levels(count)).all() and (got == lm_score.levels(count)).mean() > 0.85
 
 
 def test_packing_loses_no_id(docs):
@@ -193,8 +221,44 @@ def test_embedding_links_against_all_pairs(spark, sf):
     near = collections.Counter([ids[k] for k in a] + [ids[k] for k in b])
     low = lowest([i for i, _ in rows], [(ids[p], ids[q]) for p, q in zip(a, b, strict=True)])
     for cell in (4096, 64):
-        got = embedding_dedup.embedding_components(table, cell=cell, border=math.inf).collect()
-        assert sorted((r["id"] if "id" in r else r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == sorted((i, near[i], low[i], i == low[i]) for i, _ in rows)
+        got = embedding_dedup.embedding_components(table, cell=cell).collect()
+        assert sorted((r["id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == sorted((i, near[i], low[i], i == low[i]) for i, _ in rows)
+
+
+def planted(kind, n, seed=2):
+    """Vectors of 16 numbers with near pairs and chains of them that wander far, and some exact repeats."""
+    r = np.random.default_rng(seed)
+    base = r.normal(size=(n, 16))
+    if kind == "low rank":
+        base = r.normal(size=(n, 4)) @ r.normal(size=(4, 16)) * 3 + r.normal(size=16)
+    if kind == "one side":
+        base += 2 * r.normal(size=16)
+    out = [base]
+    for k in range(60):
+        v = base[k].copy()
+        for _ in range(12):  # a chain: each is near the last
+            v = v + r.normal(size=16) * 0.055 * np.linalg.norm(v)
+            out.append(v[None])
+    out += [base[100:140] * 3, base[200:220]]
+    return np.concatenate(out)
+
+
+@pytest.mark.parametrize(("kind", "n", "cell", "block"), [("all sides", 9000, 4096, 4096), ("all sides", 3000, 64, 50), ("low rank", 2500, 64, 128), ("one side", 2500, 100, 4096)])
+def test_no_embedding_link_is_lost_across_cells(spark, kind, n, cell, block):
+    x = planted(kind, n)
+    ids = [int(i) for i in np.random.default_rng(7).permutation(len(x))]
+    ids[5] = ids[6]  # an id twice
+    rows = [(i, v.tolist(), "clash", 1) for i, v in zip(ids, x, strict=True)] + [(99_999, [1.0, 2.0], "clash", 1), (99_998, [2.0, 4.0], "clash", 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, gid string, m int").repartition(5)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(u @ u.T >= 0.95, 1))
+    near, low = np.bincount(np.concatenate([a, b]), minlength=len(x)), lowest(range(len(x)), zip(a.tolist(), b.tolist(), strict=True))
+    least = {}
+    for k, i in enumerate(ids):
+        least[low[k]] = min(least.get(low[k], i), i)
+    want = [(i, int(near[k]), least[low[k]], i == least[low[k]]) for k, i in enumerate(ids)] + [(99_999, 1, 99_998, False), (99_998, 1, 99_998, True)]
+    got = embedding_dedup.embedding_components(table, cell=cell, block=block).collect()
+    assert len(a) > 700 and sorted(map(tuple, got)) == sorted(want)
 
 
 def test_sentencepiece_equals_the_library(docs):
@@ -281,7 +345,7 @@ def test_empty_tables_give_no_rows(spark, nothing):
     assert substring_dedup.dedup_lines(nothing).count() == 0
     assert exact_dedup.exact_dedup(nothing).count() == 0 and exact_dedup.drop_copies(nothing).count() == 0
     assert lang_id.predict(nothing, lang_id.train(nothing)).count() == 0
-    assert lm_score.score(nothing, *lm_score.train(nothing)).count() == 0
+    assert lm_score.score(nothing, lm_score.train(nothing)).count() == 0
     assert packing.pack_documents(nothing, path).count() == 0
     assert sp_bpe.encode_digests(nothing, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
     assert simhash.simhash_components(nothing).count() == 0
