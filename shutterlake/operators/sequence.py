@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Width of the buckets of time in which nearest() meets rows.
+BUCKET_MS = 3_600_000
+
 
 def sessionize(df: DataFrame, keys: list[str], order: list[Column], boundary: Column, name: str = "session_no") -> DataFrame:
     """Number the chains of each key: a row whose boundary is true (it may use lag over the same window) starts one.
@@ -40,26 +43,27 @@ def bursts(df: DataFrame, key: str, time: str, row_id: str, score: str, max_gap:
 def nearest(targets: DataFrame, anchors: DataFrame, keys: list[str], time: str, row_id: str) -> DataFrame:
     """Each target with the anchor of its keys that is nearest in time, as nearest and gap_ms; the earlier on a tie.
 
-    Without keys the anchors are reduced to one row per time and met by range: both sides are dealt to buckets of time,
-    and each bucket carries the last anchor before it and the first one after it, so no task holds all rows.
+    Anchors are reduced to one row per time. Both sides are dealt to buckets of time, and each bucket carries the last
+    anchor of its keys before it and the first one after it, so no task holds all rows of a key. What follows is taken as
+    what precedes in falling order: a frame that ends unbounded would be read again for each row.
     """
+    bucket, anchor = F.floor(F.col(time) / BUCKET_MS), F.struct(F.col(time).cast("long").alias(time), F.col("__a").cast("long").alias("__a"))
     at = anchors.groupBy(*keys, time).agg(F.min(row_id).alias("__a"))  # of anchors at one time the smallest id counts
-    if not keys:
-        width = 3_600_000
-        bucket = F.floor(F.col(time) / width)
-        targets, at = targets.withColumn("__b", bucket), at.withColumn("__b", bucket)
-        ends = at.groupBy("__b").agg(F.min(F.struct(time, "__a")).alias("first"), F.max(F.struct(time, "__a")).alias("last"))
-        wanted = ends.join(targets.select("__b").distinct(), "__b", "full")  # a row for each hour
-        w = Window.orderBy("__b")
-        around = wanted.select("__b", F.last("last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("p"), F.first("first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("n"))
-        more = around.select("__b", F.explode(F.array("p", "n")).alias("x")).filter("x IS NOT NULL").select("__b", f"x.{time}", "x.__a")
-        at = at.unionByName(more).dropDuplicates(["__b", time])
-        keys = ["__b"]
-    rows = targets.withColumn("__a", F.lit(None).cast("long")).withColumn("__x", F.lit(None).cast(f"struct<{time}:bigint,__a:bigint>"))
-    known = at.withColumn("__x", F.struct(F.col(time).cast("long").alias(time), F.col("__a").cast("long").alias("__a")))
-    both = rows.unionByName(known, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(time)
-    both = both.withColumn("__p", F.last("__x", True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.first("__x", True).over(w.rangeBetween(0, Window.unboundedFollowing)))
+    at = at.withColumn("__b", bucket).withColumn("__x", anchor)
+    targets = targets.withColumn("__b", bucket)
+    dealt = [*keys, "__b"]
+    marks = at.select(*dealt, "__x").unionByName(targets.select(*dealt).distinct(), allowMissingColumns=True)
+    ends = marks.groupBy(*dealt).agg(F.min("__x").alias("first"), F.max("__x").alias("last"))  # a row for each hour of a key
+
+    def before(order: Column, value: str, keys: list[str], frame) -> Column:
+        return F.last(value, True).over(frame(Window.partitionBy(*keys).orderBy(order)))
+
+    others = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda w: w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    around = ends.select(*dealt, F.array(before(F.asc("__b"), "last", keys, others), before(F.desc("__b"), "first", keys, others)).alias("x"))
+    carried = around.select(*dealt, F.explode("x").alias("__x")).filter("__x IS NOT NULL").withColumn(time, F.col(f"__x.{time}"))
+    both = targets.unionByName(at.drop("__a").unionByName(carried), allowMissingColumns=True)
+    both = both.withColumn("__p", before(F.asc(time), "__x", dealt, upto)).withColumn("__n", before(F.desc(time), "__x", dealt, upto))
     back, ahead = F.col(time) - F.col(f"__p.{time}"), F.col(f"__n.{time}") - F.col(time)
     earlier = ahead.isNull() | (back <= ahead)
     out = both.filter(F.col(row_id).isNotNull() & (F.col("__p").isNotNull() | F.col("__n").isNotNull()))

@@ -1,5 +1,7 @@
 """Rules that no SQL over the views shows: names that are claimed, requests that are refused, golden cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +54,26 @@ def test_nearest_without_keys_crosses_buckets(spark):
     assert got == {9: (1, 4_000_000), 8: (1, 5_000_000), 7: (2, 39_000_000), 6: (2, 0), 5: (4, 99_909_999_999)}
 
 
+def test_nearest_of_a_key_is_dealt_out_and_reads_no_row_again(spark):
+    rng = random.Random(4)
+    when = lambda k: rng.randrange(0, 30 * 3_600_000, 500) if k % 3 else rng.randrange(0, 9) * 3_600_000
+    anchors = [(i, rng.choice([1, 1, 2, 5]), when(i)) for i in range(400)]
+    targets = [(1000 + i, rng.choice([1, 2, 3, None]), when(i)) for i in range(600)]
+    a, t = (spark.createDataFrame(rows, "id long, k long, t long") for rows in (anchors, targets))
+    found = sequence.nearest(t, a, ["k"], "t", "id")
+    want = {}
+    for i, k, at in targets:
+        if own := [(abs(x - at), x, j) for j, q, x in anchors if q == k]:
+            want[i] = (min(own)[2], min(own)[0])
+    assert {r["id"]: (r["nearest"], r["gap_ms"]) for r in found.collect()} == want
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert found.filter("k = 1").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_requests_that_are_refused(spark, sf):
     tab = catalog_queries.tables(spark, sf)
     for bad in ({"min_rating": 6}, {"iso": (float("nan"), None)}, {"keeper_rule": "best"}, {"suggested": ["stars"]}):
