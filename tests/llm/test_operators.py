@@ -159,6 +159,20 @@ def test_language_model_scores(docs, max_words, max_bytes, monkeypatch):
         assert all(any(abs(r["score"] - s) <= 0.002 * abs(s) + 0.01 for s in scores[r["id"]]) for r in [*done, *told])
 
 
+@pytest.mark.parametrize(("max_words", "max_bytes"), [(2_000_000, 3000), (20, 60_000), (20, 3000)])
+def test_language_model_counts_words_that_its_filter_has_no_room_for(docs, max_words, max_bytes):
+    rows = rows_of(docs)
+    trained = lm_score.train(docs, ~lang_id.held_out("doc_id", 7), max_words=max_words, max_filter_bytes=max_bytes, bits_a_level=128)
+    assert trained.words_left_out > 20
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    want = collections.defaultdict(list)
+    for (i, _), s in zip(rows, model_score([brute_tokens(t) for _, t in rows], [brute_tokens(t) for i, t in rows if not held(i)]), strict=True):
+        want[i].append(s)
+    got = lm_score.score(docs, trained, ~lang_id.held_out("doc_id", 7)).collect()
+    assert len(got) == len(rows)
+    assert all(any(abs(r["score"] - s) <= 0.002 * abs(s) + 0.01 for s in want[r["id"]]) for r in got)
+
+
 def test_log_frequency_filter_never_underrates():
     keys = np.unique(np.random.default_rng(0).integers(1, 2**63, 5000).astype(np.uint64))
     count = np.random.default_rng(1).zipf(1.5, len(keys)).clip(1, 10**6)
