@@ -27,7 +27,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies on shingles of five words, similarity 0.8 or more, the document with the smallest id."""
+    """Of near copies, the document with the smallest id: SimHash links, and MinHash's further ones, at a similarity of 0.8 or more."""
     return near_dedup.drop_near_copies(docs)
 
 

@@ -1,7 +1,11 @@
-"""Near-copies on shingles of five words: MinHash bands find candidates, the exact Jaccard similarity decides.
+"""Near-copies on shingles of five words: SimHash and MinHash bands find candidates, the exact Jaccard similarity decides.
+
+The prints of op10's operator, linked over its index of positional bytes, come first: each text meets the first one of
+its print, and each print those it is linked with.
 
 A minimum over the shingles agrees in two texts as often as their similarity, whatever the edit is: words replaced, a
-passage put in, appended or cut off. A print's bits have no such minimum at a similarity of 0.8. Each text has BANDS keys
+passage put in, appended or cut off. A print's bits have no such minimum at a similarity of 0.8, so bands add the pairs
+whose prints are further apart. Each text has BANDS keys
 of BAND_ROWS minima; two texts at 0.8 share none with a chance of (1 - 0.8 ** 4) ** 20, which is 0.003 %.
 """
 
@@ -15,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shutterlake.llm import simhash
 from shutterlake.llm.common import byte_chunks, cut_lineage, from_words, map_arrow, mix, narrow, roots, sorted_runs, spread_join, text_buffer, word_keys
 from shutterlake.llm.components import connected_components
 from shutterlake.llm.exact_dedup import position_filter, positions
@@ -152,6 +157,23 @@ def _candidates(similarity: float):
     return run
 
 
+def print_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of rows (node, text) by SimHash: equal prints, and all links of prints at most two bits apart.
+
+    A text meets the least node of its print; linked prints meet by their least nodes. Texts without words, of print 0, don't.
+    """
+    prints = cut_lineage(simhash.fingerprints(rows, id_col="node").filter("fp <> 0"))
+    leads = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")))
+    same = spread_join(prints, leads, "fp", "n", max(1, prints.count())).select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    met = links = cut_lineage(simhash.print_links(leads))
+    total = max(1, links.count())
+    for key in ("a", "b"):
+        own = links.groupBy(key).agg(F.count(F.lit(1)).alias(f"n_{key}")).join(leads.select(F.col("fp").alias(key), F.col("lead").alias(f"lead_{key}")), key)
+        met = spread_join(met, own, key, f"n_{key}", total)
+    both = same.union(met.select("lead_a", "lead_b"))
+    return both.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _sets(wanted, bits: int):
     """The sets of the texts whose node the filter lets through."""
 
@@ -247,13 +269,13 @@ def open_links(long: DataFrame, label: DataFrame, sets: DataFrame, similarity: f
 def near_links(rows: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """For rows (node, text): verified links (a, b), and the components (node, label) that they make.
 
-    Links join what all pairs of the posting lists at the similarity would join. A short list's pairs are verified one by
+    Links join what all pairs of the posting lists at the similarity would join, and what SimHash links at it. A short list's pairs are verified one by
     one. In a longer list the first member meets all others; lists that this doesn't join whole are compared in blocks.
     """
     index = map_arrow(rows, _indexed, f"node long, size long, {', '.join(f'{s} long' for s in _SKETCH)}, keys array<long>")
     index = index.select(F.explode("keys").alias("key"), "node", "size", *_SKETCH).repartition("key").sortWithinPartitions("key", "node")
     lists = cut_lineage(map_arrow(index, _lists, f"key long, node long, size long, {', '.join(f'{s} long' for s in _SKETCH)}, n long"))
-    pairs = cut_lineage(map_arrow(lists, _candidates(similarity), "a long, b long").distinct())
+    pairs = cut_lineage(print_pairs(rows).union(map_arrow(lists, _candidates(similarity), "a long, b long")).distinct())
     long = lists.filter(F.col("n") > SMALL)
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(long.select("node")).distinct()
     wanted, bits = position_filter(need, need.count(), MAX_FILTER_BYTES, 1)
@@ -270,7 +292,7 @@ def near_links(rows: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
 def near_components(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, node, lead): for each document its node and the component's first id; node is the hash of id and text.
 
-    Candidates share a band of minima; a candidate links if the Jaccard similarity of its distinct shingles is at least
+    Candidates have linked prints or share a band of minima; a candidate links if the Jaccard similarity of its distinct shingles is at least
     the one given. Texts without words link with nothing. Null ids rank last. Rows that repeat id and text are one
     document. Lists, pairs, sets of candidates and links are written to the checkpoint folder; no text is shuffled.
     """

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import bit_tally, cut_lineage, map_arrow, narrow, roots, sorted_runs, spread_join
+from shutterlake.llm.common import bit_tally, byte_chunks, cut_lineage, map_arrow, narrow, roots, sorted_runs, spread_join
 from shutterlake.llm.components import connected_components
 
 SEED = 42
@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame, n: int = 3, id_col: str = "doc_id", text_col:
     """(id, fp) per row: the SimHash of the text's word shingles as a signed long; 0 without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in byte_chunks(batches, "text"):
             fp = np.array([majority(shingles(words(t), n)) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
 

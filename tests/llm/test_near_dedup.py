@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from shutterlake.llm import near_dedup
+from shutterlake.llm import near_dedup, simhash
+from shutterlake.llm.components import connected_components
 
 
 def shingles(text):
@@ -80,3 +81,23 @@ def test_long_posting_lists_lose_no_link(spark):
     texts += [" ".join(w if rng.random() > 0.05 else rng.choice(vocabulary) for w in texts[0].split()) for _ in range(60)]
     want, below = same_as_brute_force(spark, texts)
     assert below > 100 and len(set(want)) > 10
+
+
+def test_simhash_gives_the_pairs_of_its_prints(spark):
+    texts = made(["scatter"], (0.01, 0.06), 30)
+    texts += [texts[0].upper(), "", " \n", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    prints = [simhash.majority(simhash.shingles(simhash.words(t), 3)) for t in texts]
+    near = {(i, j) for j in range(len(texts)) for i in range(j) if prints[i] and prints[j] and (prints[i] ^ prints[j]).bit_count() <= 2}
+    got = {(r["a"], r["b"]) for r in near_dedup.print_pairs(rows).collect()}
+    assert got <= near and (0, 60) in got and len(got) > 1
+    links = lambda pairs: {(r["node"], r["label"]) for r in connected_components(spark.createDataFrame(list(pairs), "a long, b long")).collect()}
+    assert links(got) == links(near)
+
+
+@pytest.mark.parametrize("local", [0, 1 << 18])
+def test_components_on_the_driver_or_by_rounds(spark, local):
+    pairs = [(i, i + 1) for i in range(40, 0, -1)] + [(100, 90), (90, 100), (7, 7), (-5, 100)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    want = {(i, 1) for i in range(1, 42)} | {(i, -5) for i in (-5, 90, 100)}
+    assert {(r["node"], r["label"]) for r in connected_components(links, local).collect()} == want
